@@ -247,7 +247,7 @@ def near_duplicates(docs: DataFrame, k: int = 64, width: int = 5, percent: int =
 
     hot = save(lists.join(sizes.where(f"n > {small}"), "value").select("rep", "value"), f"{root}/long-lists")
     wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(hot.select("rep")).distinct()
-    texts = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("rep"), "left_semi"), f"{root}/texts")
+    texts = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), F.col("doc_id") == F.col("rep"), "left_semi"), f"{root}/texts")
     one, two = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     links = save(pairs.join(one, "a").join(two, "b").mapInArrow(_verified(width, num, den), "a long, b long"), f"{root}/links")
     if not hot.isEmpty():
