@@ -157,8 +157,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
         step = (high - low) // batches + 1
         for i in range(batches):
             runs.add(keys.where(F.col("doc_id").between(low + i * step, low + (i + 1) * step - 1)))
+    # both sides are shuffled, so that a line of very many documents can be split over tasks
+    hot = save(runs.repeated(min_docs), f"{root}/repeated").hint("merge")
     lost = (
-        keys.join(runs.repeated(min_docs), ["h1", "h2"])
+        keys.join(hot, ["h1", "h2"])
         .where(F.col("doc_id") != F.col("max_doc"))
         .select(F.col("doc_id").alias("line_doc"), F.struct("h1", "h2").alias("line_key"))
         .groupBy("line_doc")
