@@ -40,10 +40,10 @@ _HEAD, _ENTRY, _FOOT = struct.Struct("<II"), struct.Struct("<III"), struct.Struc
 NO_ID = -(1 << 63)
 
 
-def frame(ids: np.ndarray, width: int, level: int = 3) -> tuple[bytes, int, int]:
+def frame(ids: np.ndarray, width: int, compressor: zstandard.ZstdCompressor) -> tuple[bytes, int, int]:
     """A document's compressed frame, its size before and its checksum."""
     raw = ids.astype(f"<u{width}").tobytes()
-    return zstandard.ZstdCompressor(level=level, write_content_size=True).compress(raw), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF
+    return compressor.compress(raw), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF
 
 
 def trailer(doc_ids: list[int], width: int, entries: list[tuple[int, int, int]]) -> bytes:
@@ -90,11 +90,11 @@ class Reader:
 
 def _frames(path: str, end_id: int, width: int, bounds: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc, compressor = encoder(path), zstandard.ZstdCompressor(level=1, write_content_size=True)
         for batch in batches:
             ids = batch["doc_id"].to_pylist()
             for first, last, texts in batches_of(batch["text"].to_pylist()):
-                made = [frame(np.append(x, np.uint32(end_id)), width) for x in enc.ids(texts)]
+                made = [frame(np.append(x, np.uint32(end_id)), width, compressor) for x in enc.ids(texts)]
                 shard = [bisect.bisect_right(bounds, d) if d is not None else 0 for d in ids[first:last]]
                 some = [NO_ID if d is None else d for d in ids[first:last]]
                 yield pa.RecordBatch.from_arrays(

@@ -1,10 +1,16 @@
 """Token ids of whole texts by a vocabulary of the tokenizers library, with pieces that recur encoded once.
 
-A text is cut where no rule of the vocabulary can reach across: before a single blank between two visible Latin
-characters for the byte-level vocabulary, which splits there in any case; at every blank and line feed for the
-word-end vocabulary, which drops white space. The library encodes each distinct piece of a batch, and each worker
-holds the first `HELD` pieces that it meets; the ids of a text are those of its pieces in order, which is exactly what
-the library gives for the whole text. A text that spells a special token is encoded whole.
+A text is cut only where no rule of the vocabulary can reach across, and the ids of a text are those of its pieces in
+order, which is exactly what the library gives for the whole text:
+
+* the byte-level vocabulary splits at a single blank (which begins the next piece) or line feed between two visible
+  Latin characters in any case; texts with anything else between their words are cut at fewer places;
+* the word-end vocabulary drops white space, so it is cut at every blank and line feed;
+* in both, marks of `MARKS` after a letter are a piece of their own. The word-end vocabulary lower-cases, so that an
+  ASCII piece is looked up in lower case.
+
+The library encodes each distinct piece of a batch that isn't held; each worker holds the first `HELD` pieces that it
+meets. A text that spells a special token is encoded whole.
 """
 
 from __future__ import annotations
@@ -16,6 +22,9 @@ from tokenizers import Tokenizer
 
 #: Pieces that a worker holds (about 150 MB); later ones are encoded again in each batch that has them.
 HELD = 800_000
+#: Characters that are neither letters, numbers nor white space, and no apostrophe.
+MARKS = ".,;:!?|*%#&$"
+_PLAIN = re.compile(r"[ \n!-~À-ɏ]*")
 _SAFE = re.compile(r"(?<=[!-~À-ɏ])(?= [!-~À-ɏ])")
 
 
@@ -34,20 +43,40 @@ class Encoder:
     def pieces(self, text: str) -> list[str]:
         if any(s in text for s in self.special):
             return [text]
-        return text.replace("\n", " ").split(" ") if self.drops_space else _SAFE.split(text)
-
-    def _encode(self, pieces: list[str]) -> dict[str, bytes]:
-        made: dict[str, bytes] = {}
+        if self.drops_space:
+            return text.replace("\n", " ").split(" ")
+        odd = "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1] in " \n" or text[-1:] in " \n"
+        if odd or not _PLAIN.fullmatch(text):
+            return _SAFE.split(text)
+        return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
+
+    def _encode(self, pieces: list[str], into: dict[str, bytes]) -> None:
         for at in range(0, len(pieces), 20_000):
             some = pieces[at : at + 20_000]
-            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            flat = [e.ids for e in found]
-            ends = np.cumsum([len(x) for x in flat]).tolist()
+            flat = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
             raw = np.array([i for x in flat for i in x], "<u4").tobytes()
             begin = 0
-            for piece, end in zip(some, ends, strict=True):
-                made[piece] = raw[4 * begin : 4 * end]
+            for piece, ids in zip(some, flat, strict=True):
+                end = begin + 4 * len(ids)
+                into[piece] = raw[begin:end]
                 begin = end
+
+    def _new(self, missing: set[str]) -> dict[str, bytes]:
+        """The ids of pieces not held, put together from their parts where these are known or shared."""
+        known, parts = self.known, {}
+        for piece in missing:
+            stem = piece.rstrip(MARKS)
+            mark = piece[len(stem) :]
+            if mark and not stem[-1:].isalpha():
+                stem, mark = piece, ""
+            if self.drops_space and stem.isascii():
+                stem = stem.lower()
+            parts[piece] = (stem, mark)
+        made: dict[str, bytes] = {}
+        self._encode([p for p in {x for both in parts.values() for x in both} if p not in known], made)
+        for piece, (stem, mark) in parts.items():
+            if piece not in made:
+                made[piece] = (known[stem] if stem in known else made[stem]) + (known[mark] if mark in known else made[mark])
         return made
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -58,7 +87,7 @@ class Encoder:
             if None in found:
                 missing.update(p for p, x in zip(ps, found, strict=True) if x is None)
         if missing:
-            new = self._encode(list(missing))
+            new = self._new(missing)
             room = HELD - len(self.known)
             if room >= len(new):
                 self.known |= new
