@@ -214,7 +214,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 1, k
     before = held.select("task", "length", (F.expr("sum(n) OVER (PARTITION BY length ORDER BY task)") - F.col("n")).alias("before"))
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
     out = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids + ", sequence_id long, offset long"
-    return pieces.join(before, ["task", "length"]).mapInArrow(_placed(places, names), out)
+    return pieces.join(before.hint("merge"), ["task", "length"]).mapInArrow(_placed(places, names), out)
 
 
 def fill(pieces: DataFrame) -> DataFrame:
