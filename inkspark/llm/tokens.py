@@ -15,7 +15,10 @@ meets. A text that spells a special token is encoded whole.
 
 from __future__ import annotations
 
+import gc
 import re
+from array import array
+from itertools import islice
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -53,50 +56,51 @@ class Encoder:
     def _encode(self, pieces: list[str], into: dict[str, bytes]) -> None:
         for at in range(0, len(pieces), 20_000):
             some = pieces[at : at + 20_000]
-            flat = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            raw = np.array([i for x in flat for i in x], "<u4").tobytes()
-            begin = 0
-            for piece, ids in zip(some, flat, strict=True):
-                end = begin + 4 * len(ids)
-                into[piece] = raw[begin:end]
-                begin = end
+            made = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            into.update(zip(some, [array("I", e.ids).tobytes() for e in made], strict=True))
 
     def _new(self, missing: set[str]) -> dict[str, bytes]:
         """The ids of pieces not held, put together from their parts where these are known or shared."""
-        known, parts = self.known, {}
+        known, lower = self.known, self.drops_space
+        whole, joined = set(), []
         for piece in missing:
             stem = piece.rstrip(MARKS)
-            mark = piece[len(stem) :]
-            if mark and not stem[-1:].isalpha():
-                stem, mark = piece, ""
-            if self.drops_space and stem.isascii():
-                stem = stem.lower()
-            parts[piece] = (stem, mark)
+            if len(stem) < len(piece) and stem[-1:].isalpha():
+                mark = piece[len(stem) :]
+                if lower and stem.isascii():
+                    stem = stem.lower()
+                joined.append((piece, stem, mark))
+                if stem not in known:
+                    whole.add(stem)
+                if mark not in known:
+                    whole.add(mark)
+            else:
+                whole.add(piece)
         made: dict[str, bytes] = {}
-        self._encode([p for p in {x for both in parts.values() for x in both} if p not in known], made)
-        for piece, (stem, mark) in parts.items():
-            if piece not in made:
-                made[piece] = (known[stem] if stem in known else made[stem]) + (known[mark] if mark in known else made[mark])
+        self._encode(list(whole), made)
+        for piece, stem, mark in joined:
+            made[piece] = (made.get(stem) or known.get(stem, b"")) + (made.get(mark) or known.get(mark, b""))
         return made
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.pieces(t) for t in texts]
-        parts = [list(map(self.known.get, ps)) for ps in cut]
-        missing: set[str] = set()
-        for ps, found in zip(cut, parts, strict=True):
-            if None in found:
-                missing.update(p for p, x in zip(ps, found, strict=True) if x is None)
-        if missing:
-            new = self._new(missing)
-            room = HELD - len(self.known)
-            if room >= len(new):
-                self.known |= new
-            elif room > 0:
-                self.known |= {p: new[p] for p in list(new)[:room]}
-            for ps, found in zip(cut, parts, strict=True):
-                if None in found:
-                    found[:] = [new[p] if x is None else x for p, x in zip(ps, found, strict=True)]
-        return [np.frombuffer(b"".join(found), "<u4") for found in parts]
+        collects = gc.isenabled()
+        gc.disable()  # millions of short-lived entries in lists, no cycles
+        try:
+            cut = [self.pieces(t) for t in texts]
+            parts = [list(map(self.known.get, ps)) for ps in cut]
+            gaps = [[i for i, x in enumerate(found) if x is None] if None in found else [] for found in parts]
+            missing = {ps[i] for ps, own in zip(cut, gaps, strict=True) for i in own}
+            if missing:
+                new = self._new(missing)
+                for ps, found, own in zip(cut, parts, gaps, strict=True):
+                    for i in own:
+                        found[i] = new[ps[i]]
+                if (room := HELD - len(self.known)) > 0:
+                    self.known |= new if room >= len(new) else dict(islice(new.items(), room))
+            return [np.frombuffer(b"".join(found), "<u4") for found in parts]
+        finally:
+            if collects:
+                gc.enable()
 
 
 _encoders: dict[str, Encoder] = {}
@@ -109,7 +113,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def batches_of(texts: list[str | None], chars: int = 4_000_000):
+def batches_of(texts: list[str | None], chars: int = 8_000_000):
     """Runs (first, last, texts) of about so many characters, with null as empty."""
     first, held, some = 0, 0, []
     for i, text in enumerate(texts):
