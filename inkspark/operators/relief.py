@@ -90,7 +90,10 @@ def flood(a: np.ndarray, x: int, y: int, mark: float = -1) -> None:
 def trace(a: np.ndarray, x: int, y: int) -> list[tuple[int, int]]:
     """Walk the boundary of the foreground from a pixel, ending when the walk is back beside its beginning."""
     ground = np.pad(a, 2, constant_values=0)
-    edge = (ground == 1) & (_shift_stack(ground, 0) <= 0).any(0)
+
+    def edge(px: int, py: int) -> bool:
+        return ground[py, px] == 1 and bool((ground[py - 1 : py + 2, px - 1 : px + 2] <= 0).any())
+
     at = np.array([x + 2, y + 2])
     heading = next((i for i, d in enumerate(_AROUND) if ground[at[1] + d[1], at[0] + d[0]] <= 0), None)
     if heading is None:
@@ -98,7 +101,7 @@ def trace(a: np.ndarray, x: int, y: int) -> list[tuple[int, int]]:
     path: list[tuple[int, int]] = []
     while True:
         path.append((int(at[0]) - 2, int(at[1]) - 2))
-        turn = next((t % 8 for t in range(heading + 6, heading + 14) if edge[at[1] + _AROUND[t % 8][1], at[0] + _AROUND[t % 8][0]]), None)
+        turn = next((t % 8 for t in range(heading + 6, heading + 14) if edge(at[0] + _AROUND[t % 8][0], at[1] + _AROUND[t % 8][1])), None)
         if turn is None:
             return path
         heading = turn
@@ -107,15 +110,45 @@ def trace(a: np.ndarray, x: int, y: int) -> list[tuple[int, int]]:
             return path
 
 
+def shapes(a: np.ndarray) -> np.ndarray:
+    """For each foreground pixel the number of the first pixel of its 4-connected shape, -1 for the background.
+
+    Works on runs of pixels: those of neighbouring rows that overlap belong together.
+    """
+    change = np.diff(np.pad(a > 0, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    rows, starts = np.nonzero(change == 1)
+    stops = np.nonzero(change == -1)[1]
+    top = list(range(len(rows)))
+
+    def find(i: int) -> int:
+        while top[i] != i:
+            top[i] = i = top[top[i]]
+        return i
+
+    begin = np.searchsorted(rows, np.arange(a.shape[0] + 1)).tolist()
+    for y in range(1, a.shape[0]):
+        i, j = begin[y - 1], begin[y]
+        while i < begin[y] and j < begin[y + 1]:
+            if starts[i] < stops[j] and starts[j] < stops[i]:
+                p, q = find(i), find(j)
+                top[max(p, q)] = min(p, q)
+            i, j = (i + 1, j) if stops[i] < stops[j] else (i, j + 1)
+    label = np.full(a.shape, -1)
+    for i, (y, x0, x1) in enumerate(zip(rows.tolist(), starts.tolist(), stops.tolist(), strict=True)):
+        first = find(i)
+        label[y, x0:x1] = rows[first] * a.shape[1] + starts[first]
+    return label
+
+
 def trace_all(a: np.ndarray, threshold: float | None = THRESHOLD) -> list[list[tuple[int, int]]]:
     """Boundaries of all shapes of a probability map after thresholding and opening, in scan order."""
     work = a if threshold is None else open_map((a.astype(np.float32) >= np.float32(threshold)).astype(np.int8))
     work = work.astype(np.int8).copy()
+    label = shapes(work)
     found = []
-    while (left := np.flatnonzero(work.ravel() == 1)).size:
-        y, x = divmod(int(left[0]), work.shape[1])
-        found.append(trace(work, x, y))
-        flood(work, x, y)
+    for first in np.unique(label[label >= 0]).tolist():
+        found.append(trace(work, first % work.shape[1], first // work.shape[1]))
+        work[label == first] = -1
     return found
 
 
@@ -141,11 +174,7 @@ def components(pixels: DataFrame, key: str = "map_id") -> DataFrame:
         w, h = int(pdf["x"].max()) + 1, int(pdf["y"].max()) + 1
         a = np.zeros((h, w), np.int32)
         a[pdf["y"], pdf["x"]] = pdf["v"]
-        label = np.full((h, w), -1)
-        while (left := np.flatnonzero(a.ravel() > 0)).size:
-            before = a.copy()
-            flood(a, int(left[0]) % w, int(left[0]) // w)
-            label[before != a] = left[0]
+        label = shapes(a)
         pdf = pdf[pdf["v"] > 0]
         return pd.DataFrame({key: pdf[key], "x": pdf["x"], "y": pdf["y"], "shape": label[pdf["y"], pdf["x"]]})
 
