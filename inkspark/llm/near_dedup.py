@@ -227,7 +227,7 @@ def _hot_links(hot: DataFrame, reps: DataFrame, docs: DataFrame, root: str, widt
     return near.unionByName(save(far, f"{root}/hot-apart"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 64, width: int = 5, percent: int = 75, small: int = 16, block_shingles: int = 400_000, block_docs: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 64, width: int = 5, percent: int = 75, small: int = 16, block_shingles: int = 250_000, block_docs: int = 1024) -> DataFrame:
     """One row (doc_id, n_shingles, component_id, kept) for each document; kept marks the component's smallest doc_id."""
     spark = docs.sparkSession
     root = work_dir(spark, "near")

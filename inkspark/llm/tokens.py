@@ -9,7 +9,7 @@ order, which is exactly what the library gives for the whole text:
 * in both, marks of `MARKS` after a letter are a piece of their own. The word-end vocabulary lower-cases, so that an
   ASCII piece is looked up in lower case.
 
-The library encodes each distinct piece of a batch that isn't held; each worker holds the first `HELD` pieces that it
+The library encodes each distinct piece of a batch that isn't held; each worker holds the first `held` pieces that it
 meets. A text that spells a special token is encoded whole.
 """
 
@@ -23,8 +23,8 @@ from itertools import islice
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Pieces that a worker holds (about 150 MB); later ones are encoded again in each batch that has them.
-HELD = 800_000
+#: Pieces that a worker holds by default (about 90 MB); later ones are encoded again in each batch that has them.
+HELD = 400_000
 #: Characters that are neither letters, numbers nor white space, and no apostrophe.
 MARKS = ".,;:!?|*%#&$"
 _PLAIN = re.compile(r"[ \n!-~À-ɏ]*")
@@ -34,7 +34,8 @@ _SAFE = re.compile(r"(?<=[!-~À-ɏ])(?= [!-~À-ɏ])")
 class Encoder:
     """`ids` gives what encode(text, add_special_tokens=False) does, as little-endian unsigned 32-bit numbers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, held: int = HELD):
+        self.held = held
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
@@ -95,7 +96,7 @@ class Encoder:
                 for ps, found, own in zip(cut, parts, gaps, strict=True):
                     for i in own:
                         found[i] = new[ps[i]]
-                if (room := HELD - len(self.known)) > 0:
+                if (room := self.held - len(self.known)) > 0:
                     self.known |= new if room >= len(new) else dict(islice(new.items(), room))
             return [np.frombuffer(b"".join(found), "<u4") for found in parts]
         finally:
@@ -106,14 +107,14 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, held: int = HELD) -> Encoder:
     """The worker's encoder for a vocabulary file."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, held)
     return _encoders[path]
 
 
-def batches_of(texts: list[str | None], chars: int = 8_000_000):
+def batches_of(texts: list[str | None], chars: int = 4_000_000):
     """Runs (first, last, texts) of about so many characters, with null as empty."""
     first, held, some = 0, 0, []
     for i, text in enumerate(texts):
