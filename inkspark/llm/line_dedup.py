@@ -9,7 +9,7 @@ the compacted runs and drops the lines of every key found in `min_docs` document
 
 Defined cases: a null or empty text is one empty line; every row counts as one document, so repeated rows count
 again; all equal lines of the keeping document stay; a row without doc_id is kept whole and counts for nothing;
-an empty table gives an empty result; columns other than doc_id and text are carried along untouched.
+an empty table gives an empty result; columns other than doc_id and text are carried along untouched (those named like a result are replaced).
 """
 
 from __future__ import annotations
@@ -162,12 +162,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     lost = (
         keys.join(hot, ["h1", "h2"])
         .where(F.col("doc_id") != F.col("max_doc"))
-        .select(F.col("doc_id").alias("line_doc"), F.struct("h1", "h2").alias("line_key"))
-        .groupBy("line_doc")
+        .select("doc_id", F.struct("h1", "h2").alias("line_key"))
+        .groupBy("doc_id")
         .agg(F.collect_list("line_key").alias("line_drops"))
     )
-    joined = docs.join(lost, docs["doc_id"] == lost["line_doc"], "left").drop("line_doc")
-    names = [c for c in docs.columns if c != "text"]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
+    names = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped", "kept", "line_drops")]
+    joined = docs.select(*names, "text").join(lost, docs["doc_id"] == lost["doc_id"], "left").select(*[docs[c] for c in names], docs["text"], lost["line_drops"])
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
     return joined.mapInArrow(_rewrite(min_chars, [*names, "n_lines", "n_dropped", "kept"], digest), f"{kinds}, {_OUT}")
-

@@ -6,7 +6,7 @@ order, which is exactly what the library gives for the whole text:
 * the byte-level vocabulary splits at a single blank (which begins the next piece) or line feed between two visible
   Latin characters in any case; texts with anything else between their words are cut at fewer places;
 * the word-end vocabulary drops white space, so it is cut at every blank and line feed;
-* in both, marks of `MARKS` after a letter are a piece of their own. The word-end vocabulary lower-cases, so that an
+* in both, marks of `MARKS` after a Latin letter are a piece of their own. The word-end vocabulary lower-cases, so that an
   ASCII piece is looked up in lower case.
 
 The library encodes each distinct piece of a batch that isn't held; each worker holds the first `held` pieces that it
@@ -66,7 +66,9 @@ class Encoder:
         whole, joined = set(), []
         for piece in missing:
             stem = piece.rstrip(MARKS)
-            if len(stem) < len(piece) and stem[-1:].isalpha():
+            last = stem[-1:]
+            # a capital dotted I ends in a mark of its own when lower-cased
+            if len(stem) < len(piece) and last.isalpha() and last <= "ɏ" and last != "İ":
                 mark = piece[len(stem) :]
                 if lower and stem.isascii():
                     stem = stem.lower()
