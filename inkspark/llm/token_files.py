@@ -93,7 +93,7 @@ def _frames(path: str, end_id: int, width: int, bounds: list[int]):
         enc, compressor = encoder(path), zstandard.ZstdCompressor(level=1, write_content_size=True)
         for batch in batches:
             ids = batch["doc_id"].to_pylist()
-            for first, last, texts in batches_of(batch["text"].to_pylist()):
+            for first, last, texts in batches_of(batch["text"].to_pylist(), 8_000_000):
                 made = [frame(np.append(x, np.uint32(end_id)), width, compressor) for x in enc.ids(texts)]
                 shard = [bisect.bisect_right(bounds, d) if d is not None else 0 for d in ids[first:last]]
                 some = [NO_ID if d is None else d for d in ids[first:last]]
