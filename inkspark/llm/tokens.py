@@ -16,6 +16,7 @@ meets. A text that spells a special token is encoded whole.
 from __future__ import annotations
 
 import gc
+import os
 import re
 from array import array
 from itertools import islice
@@ -36,6 +37,7 @@ class Encoder:
 
     def __init__(self, path: str, held: int = HELD):
         self.held = held
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; the library would start a thread for each of the machine's
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
