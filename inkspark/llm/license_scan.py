@@ -1,13 +1,18 @@
 """License scans: an exact set-similarity join of text blocks with license templates, in DataFrame functions only.
 
-Words are runs of characters other than ASCII blanks, punctuation and controls, A-Z lower-cased. A block is a line. A
-block gives a template's label if it holds at least `percent` of the template's distinct words. The join is exact:
+Words are runs of characters other than ASCII blanks, punctuation and controls, A-Z lower-cased. A block is a line, or, over
+the whole text and so across lines, any run of as many words as the template has. A block gives a template's label if it holds
+at least `percent` of the template's distinct words. The join is exact:
 
 * words of all templates are counted over the whole table and ordered by frequency, rarest first (ties by the word);
 * prefix filter: a block that holds a = ceil(percent * n) of a template's n words has one of its n - a + 1 rarest;
 * length filter: the block has at least a distinct words;
 * positional filter: from the first prefix word that a block has, at position p, no more than n - p words are left;
-* what passes is verified by the size of the intersection.
+* what passes is verified by the size of the intersection;
+* a run of words that passes holds a prefix word, so only runs around the places of prefix words are looked at.
+
+A short form whose words all stand in another license's notice too is matched by runs of words only, all of them in it: in a
+line that holds more words, it would be found in the other notice.
 
 The templates are a table of constants (a parameter), so the only shuffle is that of one count a task for each of their words.
 Blocks and templates are matched within the row of a document, and only where one regular expression finds a prefix word.
@@ -38,6 +43,7 @@ TEMPLATES = {
     "cc-by-sa": ["licensed under cc by sa 4 0", "licensed under creative commons attribution sharealike 4 0 international"],
     "cc0": ["dedicated to the public domain under cc0 1 0 universal"],
 }
+SHORT_FORMS = {"cc-by": ["licensed under cc by 4 0"]}
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words before A-Z are lower-cased, and what parts them.
 CASED_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -71,8 +77,8 @@ def template_counts(docs: DataFrame, words: list[str]) -> dict[str, int]:
 class Template:
     """A template's words, rarest first, and what its filters need."""
 
-    def __init__(self, label: str, text: str, counts: dict[str, int], percent: int):
-        self.label = label
+    def __init__(self, label: str, text: str, counts: dict[str, int], percent: int, in_lines: bool = True):
+        self.label, self.in_lines, self.length = label, in_lines, len(text.split())
         self.words = sorted(set(text.split()), key=lambda w: (counts[w], w))
         self.least = -(-percent * len(self.words) // 100)
         self.prefix = self.words[: len(self.words) - self.least + 1]
@@ -92,6 +98,21 @@ def _sharer(t: Template):
     return lambda block: _share(block, t)
 
 
+def _share_of_lines(t: Template) -> Column:
+    return F.coalesce(F.array_max(F.transform("blocks", _sharer(t))), F.lit(0.0)) if t.in_lines else F.lit(0.0)
+
+
+def _share_of_runs(t: Template) -> Column:
+    """The template's largest share in a run of as many words; `words` are a text's, `at` the places of prefix words from 0."""
+    prefix = F.array(*[F.lit(w) for w in t.prefix])
+    words, n = F.col("words"), t.length
+    # what holds all runs over a place is looked at first
+    around = lambda i: F.slice(words, F.greatest(i - n + 2, F.lit(1)), F.lit(2 * n - 1))
+    places = F.filter("at", lambda i: F.array_contains(prefix, F.get(words, i)) & (F.size(F.array_intersect(around(i), F.array(*[F.lit(w) for w in t.words]))) >= t.least))
+    runs = F.flatten(F.transform(places, lambda i: F.transform(F.sequence(F.greatest(i - n + 2, F.lit(1)), i + 1), lambda s: F.slice(words, s, F.lit(n)))))
+    return F.coalesce(F.array_max(F.transform(runs, _sharer(t))), F.lit(0.0))
+
+
 def phrase_starts(words: Column, phrase: str) -> Column:
     """Where the phrase's words stand one after the other, from 0."""
     parts = phrase.split()
@@ -99,12 +120,14 @@ def phrase_starts(words: Column, phrase: str) -> Column:
     return F.filter(F.transform(words, lambda w, i: F.when((w == parts[0]) & hit(i), i)), lambda i: i.isNotNull())
 
 
-def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, percent: int = 90) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, percent: int = 90, short_forms: dict[str, list[str]] = SHORT_FORMS) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every document."""
-    vocabulary = sorted({w for texts in templates.values() for t in texts for w in t.split()})
+    vocabulary = sorted({w for some in (templates, short_forms) for texts in some.values() for t in texts for w in t.split()})
     counts = template_counts(docs, vocabulary)
     made = [Template(label, text, counts, percent) for label, texts in templates.items() for text in texts]
-    prefix = word_pattern(sorted({w for t in made for w in t.prefix}))
+    made += [Template(label, text, counts, 100, in_lines=False) for label, texts in short_forms.items() for text in texts]
+    prefixes = sorted({w for t in made for w in t.prefix})
+    prefix = word_pattern(prefixes)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     has_phrase = F.col("text").rlike(word_pattern([p.split()[-1] for p in PHRASES]))
@@ -112,14 +135,17 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, percent:
     rows = rows.select(
         "doc_id",
         F.regexp_count("text", F.lit(CASED_WORD)).cast("long").alias("n_words"),
-        F.when(has_phrase, words_of(lower_ascii(F.col("text")))).otherwise(empty).alias("words"),
+        F.when(has_phrase | F.col("text").rlike(prefix), words_of(lower_ascii(F.col("text")))).otherwise(empty).alias("words"),
         F.when(
             F.col("text").rlike(prefix),
             F.transform(F.filter(F.split("text", "\n"), lambda x: x.rlike(prefix)), lambda x: F.array_distinct(words_of(lower_ascii(x)))),
         ).otherwise(F.array().cast("array<array<string>>")).alias("blocks"),
     )
     rows = rows.select("*", *[phrase_starts(F.col("words"), p).alias(f"at_{i}") for i, p in enumerate(PHRASES)])
-    rows = rows.select("*", *[F.coalesce(F.array_max(F.transform("blocks", _sharer(t))), F.lit(0.0)).alias(f"share_{i}") for i, t in enumerate(made)])
+    found = F.array(*[F.lit(w) for w in prefixes])
+    places = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(found, w), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("at", F.when(F.size("blocks") > 0, places).otherwise(F.array().cast("array<int>")))
+    rows = rows.select("*", *[F.greatest(_share_of_lines(t), _share_of_runs(t)).alias(f"share_{i}") for i, t in enumerate(made)])
     places = F.concat(*[f"at_{i}" for i in range(len(PHRASES))])
     base = F.array_compact(F.array(*[F.when(F.size(f"at_{i}") > 0, label) for i, label in enumerate(PHRASES.values())]))
     own = F.array_compact(F.array(*[F.when(F.col(f"share_{i}") > 0, t.label) for i, t in enumerate(made)]))

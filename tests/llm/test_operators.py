@@ -236,6 +236,38 @@ def test_license_scan(docs, texts, empty):
     assert got[len(texts) - 2]["labels"] == "cc-by-nc" and license_scan.scan(empty).count() == 0
 
 
+def test_license_scan_finds_notices_over_lines(spark):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    notices = [(label, t) for some in (license_scan.TEMPLATES, license_scan.SHORT_FORMS) for label, ts in some.items() for t in ts]
+    texts, rnd = [], random.Random(3)
+    for _, t in notices:
+        w = t.split()
+        for k in (1, 3, 8):  # wrapped in comments, after and before other words
+            texts.append("Made of\n\n * " + "\n * ".join(" ".join(w[i : i + k]).title() for i in range(0, len(w), k)) + ".\n *\n * more " + t.split()[0])
+        texts.append("\n".join(w[: len(w) // 2] + ["x"] * len(w) + w[len(w) // 2 :]))  # too far apart
+        texts.append("\n".join(w[:2] + w[3:]))  # one word less
+        texts.append("a " + " ".join(rnd.sample(w, len(w))) + " b\nc")
+    texts += ["Licensed under CC BY 4.0.", "x Licensed under\nCC BY-NC 4.0.", "Licensed under CC BY-SA 4.0", "licensed", "", None]
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        words = word.findall(lower(t or ""))
+        lines = [word.findall(lower(x)) for x in (t or "").split("\n")]
+        shares = {}
+        for label, template in notices:
+            own, n = set(template.split()), len(template.split())
+            short = template in sum(license_scan.SHORT_FORMS.values(), [])
+            blocks = [words[j : j + n] for j in range(len(words))] + ([] if short else lines)
+            best = max((len(own & set(b)) for b in blocks), default=0)
+            if 100 * best >= (100 if short else 90) * len(own):
+                shares[label] = max(shares.get(label, 0), best / len(own))
+        base = {label for p, label in license_scan.PHRASES.items() if any(words[j : j + len(p.split())] == p.split() for j in range(len(words)))}
+        assert got[i]["labels"] == ",".join(sorted(base | set(shares))), t
+        assert got[i]["score"] == pytest.approx(1.0 if base else max(shares.values(), default=0.0))
+    for j, (label, _) in enumerate(notices):
+        assert all(label in got[6 * j + k]["labels"].split(",") for k in range(3))
+    assert [got[len(texts) - 6 + k]["labels"] for k in range(3)] == ["cc-by", "cc-by-nc", "cc-by-sa"]
+
+
 def test_quality_rules(docs, texts, empty):
     got = {r["doc_id"]: r for r in quality_rules.judge(docs).collect()}
     for i, t in enumerate(texts):
