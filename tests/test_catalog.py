@@ -1,6 +1,8 @@
 """Every catalogue query with SQL gives DuckDB's rows on the smallest tables."""
 
+import datetime
 import math
+import random
 
 import duckdb
 import pytest
@@ -39,3 +41,19 @@ def test_same_rows(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, D).count() > 0
+
+
+def test_range_join_takes_all_orders(spark, tmp_path):
+    rnd, day = random.Random(4), datetime.datetime(2024, 1, 1)
+    at = lambda: day + datetime.timedelta(seconds=rnd.randrange(9 * 86400))
+    orders = [(k, at()) for k in range(40, 160)] + [(200, day), (201, day + datetime.timedelta(days=30))]
+    events = [(i, "click", i % 5, at(), float(i % 17)) for i in range(300)] + [(300, "view", 1, day, 1.0), (301, "view", 1, day + datetime.timedelta(days=1), 2.0)]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(events, "event_id long, event_type string, user_id long, ts timestamp, value double").write.parquet(f"{tmp_path}/events.parquet")
+    want = {}
+    for k, low in orders:
+        some = [e[4] for e in events if low <= e[3] <= low + datetime.timedelta(days=1)]
+        if some:
+            want[k] = (len(some), pytest.approx(sum(some) / len(some), abs=1e-6))
+    got = {r["o_orderkey"]: (r["n"], r["mean"]) for r in QUERIES["j2_range_join"](spark, str(tmp_path)).collect()}
+    assert got == want and len(want) > 100 and 201 not in want
