@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def size_text(n: Column) -> Column:
-    """Bytes as B, KB, MB or GB with two digits."""
+    """Bytes as B, KB, MB or GB with two digits; null for null."""
     return (
-        F.when(n < 1024, F.format_string("%d B", n.cast("long")))
+        F.when(n.isNull(), F.lit(None).cast("string"))
+        .when(n < 1024, F.format_string("%d B", n.cast("long")))
         .when(n < 1024**2, F.format_string("%.2f KB", n / 1024.0))
         .when(n < 1024**3, F.format_string("%.2f MB", n / 1024.0**2))
         .otherwise(F.format_string("%.2f GB", n / 1024.0**3))

@@ -57,3 +57,11 @@ def test_range_join_takes_all_orders(spark, tmp_path):
             want[k] = (len(some), pytest.approx(sum(some) / len(some), abs=1e-6))
     got = {r["o_orderkey"]: (r["n"], r["mean"]) for r in QUERIES["j2_range_join"](spark, str(tmp_path)).collect()}
     assert got == want and len(want) > 100 and 201 not in want
+
+
+def test_number_formats_take_sizes_of_any_length(spark, tmp_path):
+    want = {0: "0 B", 1023: "1023 B", 1024: "1.00 KB", 999_999: "976.56 KB", 1_000_000: "976.56 KB", 1024**2: "1.00 MB", 5 * 1024**2 // 2: "2.50 MB", 1024**3: "1.00 GB", 3 * 1024**3 // 2: "1.50 GB", None: None}
+    rows = spark.createDataFrame(list(enumerate(want)), "doc_id long, n_chars long")
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["size"] for r in QUERIES["f_number_formats"](spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(want.values()))
