@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIZE = 1 << 12
-#: Host names of unwanted and of ordinary sites, and what stands before and after them in urls.
+#: Names of unwanted and of ordinary sites and folders, and what stands before and after them in urls.
 UNWANTED = """
 casino-win best-casino online-casino free-bets bets-now free-spins cheap-pills pills-online cheap-viagra adult-x adult-video
 xxx-adult spam-farm link-farm seo-spam ads-track track-ads adserver-ads poker-win free-poker win-lottery payday-loan cheap-loans
@@ -34,14 +34,24 @@ farmhouse railway townhall-archive open-data free-library cheapside trackfield w
 """.split()
 BEFORE = ["https://", "https://www.", "http://m.", "https://blog."]
 AFTER = [".example.com/en/27", ".example.net/de/503.html", ".example.org/es/245", ".example.com/fr/357/", ".example.org/en/471?page=2"]
+INSIDE = [".example.com/{}/27", ".example.net/en/{}.html", ".example.org/de/{}/start", ".example.com/{}", ".example.org/pages/{}/"]
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """Three urls for each host, and urls without one; beginnings and ends take turns, so that they tell nothing."""
+    """Three urls with each name as the host and three with it in the path of an ordinary host, and urls without a host.
+
+    Beginnings, ends and the ordinary hosts take turns, so that they tell nothing; two names of one kind share a path. Most
+    urls are ordinary: more of them, with numbered pages, are made of two ordinary names run together.
+    """
     out = [("", 0), ("mailto:someone", 0), ("/relative/path", 0)]
     for hosts, label in ((UNWANTED, 1), (WANTED, 0)):
         for i, host in enumerate(hosts):
             out += [(BEFORE[(i + j) % len(BEFORE)] + host + AFTER[(i + 2 * j) % len(AFTER)], label) for j in range(3)]
+            for j in range(3):
+                path = host if j < 2 else f"{host}/{hosts[(i + 7) % len(hosts)]}"
+                out.append((BEFORE[(i + j) % len(BEFORE)] + WANTED[(i + 11 * j + 1) % len(WANTED)] + INSIDE[(i + 2 * j) % len(INSIDE)].format(path), label))
+    for i, (a, b) in enumerate((a, b) for k in (3,) for a, b in zip(WANTED, WANTED[k:] + WANTED[:k], strict=True)):
+        out.append((f"{BEFORE[i % len(BEFORE)]}{a[:4]}{b[-4:]}.example.{('com', 'net', 'org')[i % 3]}/{('en', 'de', 'fr', 'es')[i % 4]}/{1009 * (i + 1) % 9973}{('', '.html', '/')[i // 3 % 3]}", 0))
     return out
 
 

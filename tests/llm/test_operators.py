@@ -129,6 +129,21 @@ def test_urls(spark):
     assert url_filter.judge_urls(rows.where("false")).count() == 0
 
 
+def test_urls_are_judged_by_host_and_path(spark):
+    bad = "win-casino casino-online bets-free viagra-pills poker-bets lottery-cash adult-hot torrent-warez payday-cash dating-singles".split()
+    good = "city-museum history-books music-school river-boats weather-maps travel-recipes garden-tools theatre-tickets sports-news science-journal".split()
+    urls = [(f"https://www.{x}.example.org/de/88", "h", x in bad) for x in bad + good] + [("https://institute.example.org/" + x + "/list", "p", x in bad) for x in bad + good]
+    urls += [("https://library.example.org/online-casino/free-spins", "p", True)]
+    listed = " ".join(u for u, _ in url_filter.labelled_urls())
+    assert not any(x in listed for x in [*bad, *good, "institute", "online-casino/free-spins"])
+    rows = spark.createDataFrame([(i, u) for i, (u, _, _) in enumerate(urls)], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] == "block" for r in url_filter.judge_urls(rows, rules=[]).collect()}
+    for part in "hp":
+        right = [got[i] == label for i, (_, p, label) in enumerate(urls) if p == part]
+        assert sum(right) >= 0.9 * len(right), part
+    assert got[len(urls) - 1]
+
+
 def test_encoder_gives_the_library_s_ids(texts):
     odd = ["  a  b", "x́ y", "Σας ΟΔΟΣ.", "a<|endoftext|>b", "日本 語", "it's we'll '", "a.*, b", "İ. ß, K!", "q\n\nr"]
     for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
