@@ -302,6 +302,18 @@ def test_quality_rules(docs, texts, empty):
     assert quality_rules.judge(empty).count() == 0 == quality_rules.keep_good(empty).count()
 
 
+def test_rules_are_sampled_from_the_whole_table(spark):
+    rows = spark.range(0, 40_000, 1, 8).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    drawn = [int(r["text"]) for r in quality_rules.sample(rows, 2000)]
+    parts = collections.Counter(i // 5000 for i in drawn)
+    assert 1800 < len(drawn) < 2200 and len(parts) == 8 and min(parts.values()) > 150
+    assert len(quality_rules.sample(rows.limit(50), 2000)) == 50 and quality_rules.sample(rows.where("false"), 2000) == []
+    assert len(quality_rules.sample(rows.withColumn("doc_id", F.lit(1)), 2000)) in (0, 4000)
+    # the first rows break no rule, the others have too many symbols
+    text = F.when(F.col("doc_id") < 5000, F.repeat(F.lit("some words that end. "), 10)).otherwise(F.repeat(F.lit("# "), 30))
+    assert {r["text"][0] for r in quality_rules.sample(rows.withColumn("text", text), 2000)} == {"s", "#"}
+
+
 def test_sharding(spark, docs, texts, empty):
     rows = sharding.shard_documents(docs, arrivals=5, fanout=3, base_bytes=1000).collect()
     assert {r["doc_id"]: r["text"] for r in rows} == dict(enumerate(texts)) and len(rows) == len(texts)
