@@ -2,9 +2,9 @@
 
 A line's key is the line without white space (space, tab to carriage return) at its ends, A-Z lower-cased. A
 `LineRuns` store holds, for each key of at least `min_chars` code points, how many documents hold it and the largest
-doc_id among them, as runs sorted and bucketed by a 128-bit hash of the key. Each new batch is merge-joined with
-the runs: keys that they hold are counted on, keys that they lack are new (an anti-join), and the batch adds its own
-run to level 0. When a level has `fanout` runs they are merged into one run of the next level. `dedup_lines` reads
+doc_id among them, as runs sorted and bucketed by a 128-bit hash of the key. Each new batch adds its
+own run to level 0, with its keys' counts, and isn't joined with the runs before: their counts are added up when runs are
+merged. `unseen` gives the keys of a batch that no run holds (an anti-join); `dedup_lines` doesn't need it. When a level has `fanout` runs they are merged into one run of the next level. `dedup_lines` reads
 the compacted runs and drops the lines of every key found in `min_docs` documents, except in the largest doc_id.
 
 Defined cases: a null or empty text is one empty line; every row counts as one document, so repeated rows count
