@@ -345,3 +345,71 @@ def test_pipeline(spark):
     pieces = corpus_pipeline.run(spark, d)
     assert pieces.select("doc_id").distinct().count() == seen[-1]
     assert pieces.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
+
+
+def test_pipeline_gives_the_plain_pipeline_s_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    some = spark.read.parquet(f"{d}/documents.parquet")
+    more = {
+        "symbols": "a # b * " * 3 + " ".join(f"word{i}" for i in range(30)), "short": " ".join(chr(97 + i % 26) for i in range(30)), "long": " ".join(f"{i}" + "x" * 20 for i in range(30)),
+        "lines": "\n".join(["a few words here"] * 12 + [f"line {i} of text" for i in range(9)]), "shouting": " ".join(f"word{i} BUY!" for i in range(20)), "good": " ".join(f"word{i}" for i in range(25)),
+    }
+    extra = spark.createDataFrame([(100_000 + i, t, "en", k, len(t)) for i, (k, t) in enumerate(more.items())], some.schema)
+    some.unionByName(extra).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{d}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    table = lambda rows: {r["doc_id"]: r["text"] for r in rows.collect()}
+
+    def good(t):
+        w, lines = word_list(t), [x for x in (t or "").split("\n") if word_list(x)]
+        n, seen = len(w), collections.Counter(tuple(w[j : j + 8]) for j in range(len(w) - 7))
+        repeated = len({j + k for j in range(n - 7) if seen[tuple(w[j : j + 8])] > 1 for k in range(8)})
+        chars = sum(map(len, w))
+        symbols, shouts = len(re.findall(r"[#*$%&|<>]", t or "")), len(re.findall(r"[A-Z]{2,}[.,]?!", t or ""))
+        many = len(lines) >= 10 and 100 * (len(lines) - len(set(lines))) > 50 * len(lines)
+        return not (n < 20 or 100 * repeated > 30 * n or 100 * symbols > 10 * n or chars < 2 * n or chars > 15 * n or many or 10 * shouts > 3 * n)
+
+    def shingle(t):
+        w = word_list(lower(t or ""))
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+    def without_lines(texts):
+        key = lambda x: lower(x.strip(" \t\n\x0b\x0c\r"))
+        where = collections.defaultdict(set)
+        for i, t in texts.items():
+            for x in t.split("\n"):
+                if len(key(x)) >= 20:
+                    where[key(x)].add(i)
+        return {i: "\n".join(x for x in t.split("\n") if len(where[key(x)]) < 3 or max(where[key(x)]) == i) for i, t in texts.items()}
+
+    def one_of_each(texts):
+        sets, top = {i: shingle(t) for i, t in texts.items()}, {i: i for i in texts}
+
+        def find(i):
+            return i if top[i] == i else find(top[i])
+
+        for i in sorted(sets):
+            for j in sorted(sets):
+                if j < i and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) > 0:
+                    a, b = find(i), find(j)
+                    top[max(a, b)] = min(a, b)
+        return {i: t for i, t in texts.items() if find(i) == i}
+
+    items = [s for r in spark.read.parquet(f"{d}/benchmark.parquet").collect() if (s := shingle(r["text"]))]
+    clean = lambda texts: {i: t for i, t in texts.items() if not any(100 * len(shingle(t) & s) >= 75 * len(s) for s in items)}
+    plain = [lambda texts: {i: t for i, t in texts.items() if good(t)}, without_lines, one_of_each, clean]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    want = table(docs)
+    for (name, stage), step in zip(corpus_pipeline.STAGES[:-1], plain, strict=True):
+        docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), docs.schema)
+        want = step(want)
+        assert table(docs) == want and docs.count() == len(want), name
+        if name == "quality_rules":
+            assert {i for i in want if i >= 100_000} == {100_005}
+    enc, pieces = tokens.Encoder(tokenizer_path("word_bpe_49k.json")), set()
+    for i, t in want.items():
+        ids = [*enc.tokenizer.encode(t, add_special_tokens=False).ids, 1]
+        pieces |= {(i, k, s, len(ids[s : s + 4096]), zlib.crc32(np.array(ids[s : s + 4096], "<u4").tobytes())) for k, s in enumerate(range(0, len(ids), 4096))}
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows} == pieces and len(rows) == len(pieces)
