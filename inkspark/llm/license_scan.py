@@ -1,35 +1,40 @@
 """License scans: an exact set-similarity join of text blocks with license templates, in DataFrame functions only.
 
 Words are runs of characters other than ASCII blanks, punctuation and controls, A-Z lower-cased. A block is a line, or, over
-the whole text and so across lines, any run of as many words as the template has. A block gives a template's label if it holds
+the whole text and so across lines, any run of as many words as a template has. A block gives a template's label if it holds
 at least `percent` of the template's distinct words. The join is exact:
 
-* words of all templates are counted over the whole table and ordered by frequency, rarest first (ties by the word);
-* prefix filter: a block that holds a = ceil(percent * n) of a template's n words has one of its n - a + 1 rarest;
-* length filter: the block has at least a distinct words;
-* positional filter: from the first prefix word that a block has, at position p, no more than n - p words are left;
-* what passes is verified by the size of the intersection;
-* a run of words that passes holds a prefix word, so only runs around the places of prefix words are looked at.
+* tokens: the templates' words, ordered by the number of documents of the whole table that hold them, rarest first (ties by
+  the word); other words can't be shared, so blocks keep only tokens, each once and in this order;
+* prefixes: a template of n tokens needs a = ceil(percent * n) of them, so that a block with so many holds one of the
+  template's n - a + 1 rarest, and has it among its own m - a + 1 rarest of m. Both prefixes are joined on the token;
+* length filter: the block has at least a tokens;
+* positional filter: a pair that meets at place p of the template and place q of the block shares n - p and m - q tokens at
+  most from there on (what comes before is paired by an earlier token), so both have to be at least a;
+* what passes is verified by the size of the intersection.
+
+The blocks of a document that hold no token of any template's prefix are never made, and of runs only those around one.
+Their rows, with the documents' base places, are written once, without the texts. The template table is a parameter; its
+prefixes are broadcast up to `BROADCAST_ROWS` rows and joined by a shuffle beyond.
 
 A short form whose words all stand in another license's notice too is matched by runs of words only, all of them in it: in a
 line that holds more words, it would be found in the other notice.
 
-The templates are a table of constants (a parameter), so the only shuffle is that of one count a task for each of their words.
-Blocks and templates are matched within the row of a document, and only where one regular expression finds a prefix word.
-
 Base labels are found as phrases of consecutive words anywhere in the text.
 
 Defined cases: a null or empty text, or one without words, has zero counts, null places, empty labels and score 0;
-repeated rows and ties are scanned each; an empty table gives an empty result.
+repeated rows and rows without doc_id are scanned each; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkspark.llm.common import BROADCAST_ROWS, save, work_dir
+
 #: Phrases with their labels, and notices by which texts commonly state a license.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 TEMPLATES = {
@@ -44,73 +49,109 @@ TEMPLATES = {
     "cc0": ["dedicated to the public domain under cc0 1 0 universal"],
 }
 SHORT_FORMS = {"cc-by": ["licensed under cc by 4 0"]}
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words before A-Z are lower-cased, and what parts them.
-CASED_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-CASED_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What parts words, in a text whose A-Z are lower-cased.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_KELVIN = "\u212a"  # the only character other than A-Z whose lower case is a letter of a-z alone
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def lower_ascii(text: Column) -> Column:
-    return F.translate(text, _UPPER, _LOWER)
+def lowered(text: Column) -> Column:
+    """The text in lower case, in which words of a-z stand just where they stand, in any case of A-Z, in the text."""
+    return F.when(text.contains(_KELVIN), F.translate(text, _UPPER, _LOWER)).otherwise(F.lower(text))
 
 
 def words_of(text: Column) -> Column:
     """The words of an already lower-cased text."""
-    return F.filter(F.split(text, CASED_GAP), lambda w: w != "")
+    return F.array_remove(F.split(text, GAP), "")
 
 
-def word_pattern(words: list[str]) -> str:
-    """Matches a text, in any case, that holds one of the words."""
-    edge = CASED_WORD[:-1]
-    return f"(?i)(?<!{edge})(?:{'|'.join(sorted(words))})(?!{edge})"
+def literal(words: list[str]) -> Column:
+    return F.array(*[F.lit(w) for w in words]).cast("array<string>")
 
 
-def template_counts(docs: DataFrame, words: list[str]) -> dict[str, int]:
-    """How often each template word stands in the whole table."""
-    spread = docs.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(word_pattern(words)), F.lit(0))).alias("w"))
-    rows = spread.select(lower_ascii(F.col("w")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    counts = {r["w"]: r["n"] for r in rows.collect()}  # a row for each template word at most
+def document_counts(docs: DataFrame, words: list[str]) -> dict[str, int]:
+    """How many documents of the whole table hold each word."""
+    found = docs.select(F.explode(F.array_intersect(literal(words), words_of(lowered(F.coalesce("text", F.lit("")))))).alias("w"))
+    counts = {r["w"]: r["n"] for r in found.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each template word at most
     return {w: counts.get(w, 0) for w in words}
 
 
 class Template:
-    """A template's words, rarest first, and what its filters need."""
+    """A template's tokens, rarest first, and what its filters need."""
 
     def __init__(self, label: str, text: str, counts: dict[str, int], percent: int, in_lines: bool = True):
-        self.label, self.in_lines, self.length = label, in_lines, len(text.split())
-        self.words = sorted(set(text.split()), key=lambda w: (counts[w], w))
-        self.least = -(-percent * len(self.words) // 100)
-        self.prefix = self.words[: len(self.words) - self.least + 1]
+        self.label, self.kinds = label, [len(text.split())] + [LINE] * in_lines
+        self.tokens = sorted(set(text.split()), key=lambda w: (counts[w], w))
+        self.least = -(-percent * len(self.tokens) // 100)
+        self.prefix = self.tokens[: len(self.tokens) - self.least + 1]
+
+
+#: The kind of blocks that are lines; other kinds are runs of so many words.
+LINE = 0
+
+
+def prefixes(spark: SparkSession, templates: list[Template]) -> DataFrame:
+    """A row for each kind of block and each token of a template's prefix."""
+    rows = [(kind, w, place, t.least, t.label, t.tokens) for t in templates for kind in t.kinds for place, w in enumerate(t.prefix)]
+    made = spark.createDataFrame(rows, "kind int, token string, place int, least int, label string, template array<string>")
+    return F.broadcast(made) if len(rows) <= BROADCAST_ROWS else made
+
+
+def _kinds(templates: list[Template], counts: dict[str, int]) -> dict[int, Column]:
+    """For each kind of blocks: kind, the least tokens that any template needs, all prefixes and all tokens in order."""
+    out = {}
+    for kind in sorted({k for t in templates for k in t.kinds}):
+        own = [t for t in templates if kind in t.kinds]
+        tokens = sorted({w for t in own for w in t.tokens}, key=lambda w: (counts[w], w))
+        prefix = sorted({w for t in own for w in t.prefix})
+        out[kind] = F.struct(F.lit(kind).alias("kind"), F.lit(min(t.least for t in own)).alias("least"), literal(prefix).alias("prefix"), literal(tokens).alias("tokens"))
+    return out
+
+
+def _block(kind: Column, words: Column) -> Column:
+    return F.struct(kind["kind"].alias("kind"), kind["least"].alias("least"), F.array_intersect(kind["tokens"], words).alias("tokens"))
+
+
+def _line_blocks(text: Column, kind: Column) -> Column:
+    lines = F.filter(F.transform(F.split(text, "\n"), words_of), lambda ws: F.arrays_overlap(ws, kind["prefix"]))
+    return F.transform(lines, lambda ws: _block(kind, ws))
+
+
+def _run_blocks(words: Column, kind: Column) -> Column:
+    """All runs of kind["kind"] words that hold a word of a prefix, as far as the words around it can hold enough tokens."""
+    n = kind["kind"]
+    first = lambda i: F.greatest(i - n + 2, F.lit(1))
+    places = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(kind["prefix"], w), i)), lambda i: i.isNotNull())
+    near = F.filter(places, lambda i: F.size(F.array_intersect(kind["tokens"], F.slice(words, first(i), 2 * n - 1))) >= kind["least"])
+    starts = F.array_distinct(F.flatten(F.transform(near, lambda i: F.sequence(first(i), i + 1))))
+    return F.transform(starts, lambda s: _block(kind, F.slice(words, s, n)))
 
 
-def _share(block: Column, t: Template) -> Column:
-    """The template's share in a block's distinct words, or 0 where a filter excludes the block."""
-    literal = F.array(*[F.lit(w) for w in t.words])
-    # positional filter: words before the first prefix word that the block has are missing
-    first = F.coalesce(*[F.when(F.array_contains(block, w), i) for i, w in enumerate(t.prefix)])
-    passes = F.arrays_overlap(block, F.array(*[F.lit(w) for w in t.prefix])) & (F.size(block) >= t.least) & (len(t.words) - first >= t.least)
-    shared = F.size(F.array_intersect(literal, block))
-    return F.when(passes, F.when(shared >= t.least, shared / F.lit(float(len(t.words)))).otherwise(0.0)).otherwise(0.0)
+def blocks_of(text: Column, words: Column, kinds: dict[int, Column]) -> Column:
+    """array<struct<kind, least, tokens>> of the blocks of a lower-cased text that can pass the length filter of their kind."""
+    runs = [c for k, c in kinds.items() if k != LINE]
+    made = F.flatten(F.transform(F.filter(F.array(*runs), lambda k: F.arrays_overlap(words, k["prefix"])), lambda k: _run_blocks(words, k)))
+    if LINE in kinds:
+        lines = kinds[LINE]
+        made = F.concat(made, F.when(F.arrays_overlap(words, lines["prefix"]), _line_blocks(text, lines)).otherwise(F.array().cast(BLOCKS)))
+    return F.filter(made, lambda b: F.size(b["tokens"]) >= b["least"])
 
 
-def _sharer(t: Template):
-    return lambda block: _share(block, t)
+BLOCKS = "array<struct<kind:int,least:int,tokens:array<string>>>"
 
 
-def _share_of_lines(t: Template) -> Column:
-    return F.coalesce(F.array_max(F.transform("blocks", _sharer(t))), F.lit(0.0)) if t.in_lines else F.lit(0.0)
+def candidates(blocks: DataFrame, templates: DataFrame, positional: bool = True) -> DataFrame:
+    """Pairs of blocks (kind, least, tokens and other columns) and templates whose prefixes meet, after the filters."""
+    prefix = F.posexplode(F.slice("tokens", F.lit(1), F.size("tokens") - F.col("least") + 1)).alias("at", "token")
+    pairs = blocks.select("*", prefix).drop("least").join(templates, ["kind", "token"]).where(F.size("tokens") >= F.col("least"))
+    rest = F.least(F.size("tokens") - F.col("at"), F.size("template") - F.col("place"))
+    return pairs.where(rest >= F.col("least")) if positional else pairs
 
 
-def _share_of_runs(t: Template) -> Column:
-    """The template's largest share in a run of as many words; `words` are a text's, `at` the places of prefix words from 0."""
-    prefix = F.array(*[F.lit(w) for w in t.prefix])
-    words, n = F.col("words"), t.length
-    # what holds all runs over a place is looked at first
-    around = lambda i: F.slice(words, F.greatest(i - n + 2, F.lit(1)), F.lit(2 * n - 1))
-    places = F.filter("at", lambda i: F.array_contains(prefix, F.get(words, i)) & (F.size(F.array_intersect(around(i), F.array(*[F.lit(w) for w in t.words]))) >= t.least))
-    runs = F.flatten(F.transform(places, lambda i: F.transform(F.sequence(F.greatest(i - n + 2, F.lit(1)), i + 1), lambda s: F.slice(words, s, F.lit(n)))))
-    return F.coalesce(F.array_max(F.transform(runs, _sharer(t))), F.lit(0.0))
+def matches(blocks: DataFrame, templates: DataFrame) -> DataFrame:
+    """What the candidates give that share enough tokens: the blocks' columns with label and share."""
+    shared = F.size(F.array_intersect("template", "tokens"))
+    return candidates(blocks, templates).withColumn("shared", shared).where("shared >= least").withColumn("share", F.col("shared") / F.size("template"))
 
 
 def phrase_starts(words: Column, phrase: str) -> Column:
@@ -122,41 +163,33 @@ def phrase_starts(words: Column, phrase: str) -> Column:
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, percent: int = 90, short_forms: dict[str, list[str]] = SHORT_FORMS) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every document."""
+    spark = docs.sparkSession
     vocabulary = sorted({w for some in (templates, short_forms) for texts in some.values() for t in texts for w in t.split()})
-    counts = template_counts(docs, vocabulary)
+    counts = document_counts(docs, vocabulary)
     made = [Template(label, text, counts, percent) for label, texts in templates.items() for text in texts]
     made += [Template(label, text, counts, 100, in_lines=False) for label, texts in short_forms.items() for text in texts]
-    prefixes = sorted({w for t in made for w in t.prefix})
-    prefix = word_pattern(prefixes)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    has_phrase = F.col("text").rlike(word_pattern([p.split()[-1] for p in PHRASES]))
-    empty = F.array().cast("array<string>")
+    kinds = _kinds(made, counts)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lowered(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = rows.withColumn("words", words_of(F.col("text")))
+    none = F.array().cast("array<int>")
+    ends = literal(sorted({p.split()[-1] for p in PHRASES}))
+    starts = [F.when(F.arrays_overlap("words", ends), phrase_starts(F.col("words"), p)).otherwise(none) for p in PHRASES]
+    rows = rows.select("*", F.array(*starts).alias("at"), F.flatten(F.array(*starts)).alias("places"))
+    base = F.filter(F.transform(F.array(*map(F.lit, PHRASES.values())), lambda x, i: F.when(F.size(F.get("at", i)) > 0, x)), lambda x: x.isNotNull())
+    found_in = F.when(F.arrays_overlap("words", literal(sorted({w for t in made for w in t.prefix}))), blocks_of(F.col("text"), F.col("words"), kinds))
     rows = rows.select(
-        "doc_id",
-        F.regexp_count("text", F.lit(CASED_WORD)).cast("long").alias("n_words"),
-        F.when(has_phrase | F.col("text").rlike(prefix), words_of(lower_ascii(F.col("text")))).otherwise(empty).alias("words"),
-        F.when(
-            F.col("text").rlike(prefix),
-            F.transform(F.filter(F.split("text", "\n"), lambda x: x.rlike(prefix)), lambda x: F.array_distinct(words_of(lower_ascii(x)))),
-        ).otherwise(F.array().cast("array<array<string>>")).alias("blocks"),
+        F.monotonically_increasing_id().alias("row"), "doc_id",
+        F.size("words").cast("long").alias("n_words"), F.size("places").cast("long").alias("n_base"),
+        F.array_min("places").cast("long").alias("first_word"), F.array_max("places").cast("long").alias("last_word"),
+        base.alias("base"), found_in.alias("blocks"),
     )
-    rows = rows.select("*", *[phrase_starts(F.col("words"), p).alias(f"at_{i}") for i, p in enumerate(PHRASES)])
-    found = F.array(*[F.lit(w) for w in prefixes])
-    places = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(found, w), i)), lambda i: i.isNotNull())
-    rows = rows.withColumn("at", F.when(F.size("blocks") > 0, places).otherwise(F.array().cast("array<int>")))
-    rows = rows.select("*", *[F.greatest(_share_of_lines(t), _share_of_runs(t)).alias(f"share_{i}") for i, t in enumerate(made)])
-    places = F.concat(*[f"at_{i}" for i in range(len(PHRASES))])
-    base = F.array_compact(F.array(*[F.when(F.size(f"at_{i}") > 0, label) for i, label in enumerate(PHRASES.values())]))
-    own = F.array_compact(F.array(*[F.when(F.col(f"share_{i}") > 0, t.label) for i, t in enumerate(made)]))
-    best = F.greatest(F.lit(0.0), F.lit(0.0), *[f"share_{i}" for i in range(len(made))])
+    rows = save(rows, work_dir(spark, "licenses"))
+    blocks = rows.where(F.size("blocks") > 0).select("row", F.inline("blocks"))
+    found = matches(blocks, prefixes(spark, made)).groupBy("row").agg(F.collect_set("label").alias("own"), F.max("share").alias("share"))
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
-    return rows.select(
-        "doc_id", "n_words",
-        F.size(places).cast("long").alias("n_base"),
-        F.array_min(places).cast("long").alias("first_word"),
-        F.array_max(places).cast("long").alias("last_word"),
-        joined(base).alias("base_labels"),
-        joined(F.concat(base, own)).alias("labels"),
-        F.when(F.size(places) > 0, 1.0).otherwise(best).alias("score"),
+    return rows.join(found, "row", "left").select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word",
+        joined(F.col("base")).alias("base_labels"),
+        joined(F.concat("base", F.coalesce("own", F.array().cast("array<string>")))).alias("labels"),
+        F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
     )
