@@ -5,20 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it is known to have no more rows than this.
 BROADCAST_ROWS = 20_000
 
 
+#: A key with no more rows than this needs no care in a join.
+FEW_ROWS = 1000
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Where the session has no such setting (tests in local mode), a temporary folder is set for it.
+    Where the session has no such setting, a temporary folder is set for it in local mode (tests); on a cluster, whose
+    executors wouldn't see it, that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="inkspark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/inkspark/{name}-{uuid.uuid4().hex}"
@@ -44,5 +51,29 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def strip_space(column):
-    return F.regexp_replace(column, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+def column(name: str) -> Column:
+    """The column of just this name, with dots or backticks in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free(taken: list[str], wanted: str) -> str:
+    """A name for a result beside columns that stay: `wanted`, with `_` added until no column has it in any case."""
+    lower = {c.lower() for c in taken}
+    while wanted.lower() in lower:
+        wanted += "_"
+    return wanted
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left (a saved table) joined with right, which has one row for each key, where a key may have any share of left's rows.
+
+    Keys of more than `FEW_ROWS` rows, and of more than one in `BROADCAST_ROWS`, are counted first. There are fewer than
+    `BROADCAST_ROWS` of them: their rows of right are broadcast, and left's rows with them stay where they are.
+    """
+    most = max(FEW_ROWS, left.count() // BROADCAST_ROWS)
+    often = left.groupBy(key).agg(F.count(F.lit(1)).alias("often")).where((F.col("often") > most) & F.col(key).isNotNull()).select(key)
+    often = F.broadcast(often)
+    if often.isEmpty():
+        return left.join(right, key, how)
+    hot = left.join(often, key, "left_semi").join(F.broadcast(right.join(often, key, "left_semi")), key, how)
+    return hot.unionByName(left.join(often, key, "left_anti").join(right, key, how))

@@ -1,15 +1,17 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-A line's key is the line without white space (space, tab to carriage return) at its ends, A-Z lower-cased. A
-`LineRuns` store holds, for each key of at least `min_chars` code points, how many documents hold it and the largest
-doc_id among them, as runs sorted and bucketed by a 128-bit hash of the key. Each new batch adds its
-own run to level 0, with its keys' counts, and isn't joined with the runs before: their counts are added up when runs are
-merged. `unseen` gives the keys of a batch that no run holds (an anti-join); `dedup_lines` doesn't need it. When a level has `fanout` runs they are merged into one run of the next level. `dedup_lines` reads
-the compacted runs and drops the lines of every key found in `min_docs` documents, except in the largest doc_id.
+A line's key is the line without white space (space, tab to carriage return) at its ends, A-Z lower-cased. A `LineRuns`
+store holds the keys of at least `min_chars` code points as runs, sorted and bucketed by a 128-bit hash of the key. Each new
+batch is written as a sorted arrival and merge-anti-joined with the runs: keys that no run holds become a run of level 0,
+with the number of documents that hold them and the largest doc_id among them, so that a key is in one run only; keys that
+a run holds become an update, with the same numbers. All these joins are merge joins of tables bucketed and sorted alike, without
+a shuffle. When a level has `fanout` runs they are merged into one run of the next level; so are the updates among themselves.
+`dedup_lines` adds the runs and updates up and drops the lines of every key found in `min_docs` documents, except in the largest doc_id.
 
 Defined cases: a null or empty text is one empty line; every row counts as one document, so repeated rows count
 again; all equal lines of the keeping document stay; a row without doc_id is kept whole and counts for nothing;
-an empty table gives an empty result; columns other than doc_id and text are carried along untouched (those named like a result are replaced).
+an empty table gives an empty result; columns other than text are carried along untouched, whatever their names (a result
+whose name one of them has gets `_` added to its name).
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from inkspark.llm.common import partitions, remove, save, work_dir
+from inkspark.llm.common import column, free, partitions, remove, save, work_dir
 
 WHITE = b" \t\n\x0b\x0c\r"
 _LOWER = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 256))
@@ -65,12 +68,13 @@ def keys_of(docs: DataFrame, min_chars: int = 20) -> DataFrame:
 
 
 class LineRuns:
-    """Levelled runs (h1, h2, n_docs, max_doc), each a table bucketed and sorted by the hash, with one row for a hash."""
+    """Levelled runs and updates (h1, h2, n_docs, max_doc): tables bucketed and sorted by the hash, with one row for a hash."""
 
     def __init__(self, spark: SparkSession, root: str, fanout: int = 4, buckets: int | None = None):
         self.spark, self.root, self.fanout = spark, root, fanout
         self.buckets = buckets or partitions(spark)
         self.levels: list[list[str]] = [[]]
+        self.updates: list[str] = []
 
     def _write(self, rows: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
@@ -81,9 +85,18 @@ class LineRuns:
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         remove(self.spark, f"{self.root}/{name}")
 
+    def runs(self) -> list[str]:
+        return [x for level in self.levels for x in level]
+
+    def close(self) -> None:
+        """Drop all runs and updates."""
+        for name in self.runs() + self.updates:
+            self._drop(name)
+        self.levels, self.updates = [[]], []
+
     def merged(self, names: list[str] | None = None) -> DataFrame:
-        """The given runs (all of them by default) as one table with a row for each key."""
-        names = [x for level in self.levels for x in level] if names is None else names
+        """The given runs and updates (all of them by default) as one table with a row for each key."""
+        names = self.runs() + self.updates if names is None else names
         if not names:
             return self.spark.createDataFrame([], "h1 long, h2 long, n_docs long, max_doc long")
         rows = self.spark.table(names[0])
@@ -93,40 +106,51 @@ class LineRuns:
             rows = rows.join(other, ["h1", "h2"], "full").select("h1", "h2", n_docs.alias("n_docs"), F.greatest("max_doc", "other_doc").alias("max_doc"))
         return rows
 
+    def unseen(self, keys: DataFrame, names: list[str] | None = None) -> DataFrame:
+        """The rows whose keys the given runs (all of them by default) don't hold."""
+        for name in self.runs() if names is None else names:
+            keys = keys.join(self.spark.table(name).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+        return keys
+
     def add(self, keys: DataFrame) -> None:
-        """Add the batch's keys as a run of level 0, then merge the levels that are full."""
-        self.levels[0].append(self._write(keys.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("max_doc"))))
+        """Add a batch: its new keys as a run of level 0, the others as an update; then merge what is full."""
+        arrival = self._write(keys.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("max_doc")))
+        if self.runs():
+            rows = self.spark.table(arrival)
+            new = self._write(self.unseen(rows))
+            self.updates.append(self._write(self.unseen(rows, [new])))
+            self._drop(arrival)
+            arrival = new
+        self.levels[0].append(arrival)
         level = 0
         while len(self.levels[level]) >= self.fanout:
             self.compact(level)
             level += 1
+        if len(self.updates) >= self.fanout:
+            self.updates = [self._merge(self.updates)]
+
+    def _merge(self, names: list[str]) -> str:
+        made = self._write(self.merged(names))
+        for name in names:
+            self._drop(name)
+        return made
 
     def compact(self, level: int) -> None:
         full, self.levels[level] = self.levels[level], []
         if level + 1 == len(self.levels):
             self.levels.append([])
-        self.levels[level + 1].append(self._write(self.merged(full)))
-        for name in full:
-            self._drop(name)
-
-    def unseen(self, keys: DataFrame) -> DataFrame:
-        """The keys that no run holds yet."""
-        return keys.join(self.merged().select("h1", "h2"), ["h1", "h2"], "left_anti")
+        self.levels[level + 1].append(self._merge(full))
 
     def repeated(self, min_docs: int) -> DataFrame:
         """The keys of at least `min_docs` documents, with the largest doc_id holding each."""
         return self.merged().where(F.col("n_docs") >= min_docs).select("h1", "h2", "max_doc")
 
 
-_OUT = "n_lines long, n_dropped long, kept string"
-
-
-def _rewrite(min_chars: int, schema: list[str], digest: bool):
+def _rewrite(min_chars: int, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = {k: batch[k] for k in batch.schema.names if k not in ("text", "line_drops")}
             n_lines, n_dropped, kept = [], [], []
-            for text, drops in zip(batch["text"].cast(pa.binary()), batch["line_drops"], strict=True):
+            for text, drops in zip(batch["text"].cast(pa.binary()), batch["drops"], strict=True):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
                 lines = raw.count(b"\n") + 1
                 gone = 0
@@ -137,14 +161,13 @@ def _rewrite(min_chars: int, schema: list[str], digest: bool):
                 n_lines.append(lines)
                 n_dropped.append(gone)
                 kept.append(hashlib.sha256(raw).hexdigest() if digest else raw.decode("utf-8", "replace"))
-            columns |= {"n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64()), "kept": pa.array(kept, pa.string())}
-            yield pa.RecordBatch.from_arrays([columns[f] for f in schema], names=schema)
+            yield pa.RecordBatch.from_arrays([batch["others"], pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())], names=["others", "n_lines", "n_dropped", "kept"])
 
     return run
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 4, digest: bool = False) -> DataFrame:
-    """The documents with n_lines, n_dropped and `kept`: the text that stays, or its SHA-256 with `digest`.
+    """The documents' columns without text, then n_lines, n_dropped and `kept`: the text that stays, or its SHA-256 with `digest`.
 
     The keys go into the runs in `batches` ranges of doc_id, as arrivals would.
     """
@@ -153,20 +176,30 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     keys = save(keys_of(docs, min_chars), f"{root}/keys")
     low, high = keys.agg(F.min("doc_id"), F.max("doc_id")).first()
     runs = LineRuns(spark, root, fanout)
-    if low is not None:
-        step = (high - low) // batches + 1
-        for i in range(batches):
-            runs.add(keys.where(F.col("doc_id").between(low + i * step, low + (i + 1) * step - 1)))
-    # both sides are shuffled, so that a line of very many documents can be split over tasks
-    hot = save(runs.repeated(min_docs), f"{root}/repeated").hint("merge")
-    lost = (
-        keys.join(hot, ["h1", "h2"])
-        .where(F.col("doc_id") != F.col("max_doc"))
-        .select("doc_id", F.struct("h1", "h2").alias("line_key"))
-        .groupBy("doc_id")
-        .agg(F.collect_list("line_key").alias("line_drops"))
-    )
-    names = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped", "kept", "line_drops")]
-    joined = docs.select(*names, "text").join(lost, docs["doc_id"] == lost["doc_id"], "left").select(*[docs[c] for c in names], docs["text"], lost["line_drops"])
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return joined.mapInArrow(_rewrite(min_chars, [*names, "n_lines", "n_dropped", "kept"], digest), f"{kinds}, {_OUT}")
+    try:
+        if low is not None:
+            step = (high - low) // batches + 1
+            for i in range(batches):
+                runs.add(keys.where(F.col("doc_id").between(low + i * step, low + (i + 1) * step - 1)))
+        # both sides are shuffled, so that a line of very many documents can be split over tasks
+        hot = save(runs.repeated(min_docs), f"{root}/repeated").hint("merge")
+    finally:
+        runs.close()
+    lost = keys.join(hot, ["h1", "h2"]).where(F.col("doc_id") != F.col("max_doc"))
+    lost = lost.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("drops"))
+    names = [c for c in docs.columns if c != "text"]
+    own = docs.select(F.struct(*[column(c) for c in names]).alias("others"), "text", F.col("doc_id").cast("long").alias("doc_id"))
+    # rows without doc_id lose nothing; they are spread
+    own = own.withColumn("part", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long")))
+    joined = own.join(lost.withColumn("part", F.lit(0).cast("long")), ["doc_id", "part"], "left").select("others", "text", "drops")
+    schema = StructType([joined.schema["others"], StructField("n_lines", LongType()), StructField("n_dropped", LongType()), StructField("kept", StringType())])
+    rows = joined.mapInArrow(_rewrite(min_chars, digest), schema)
+    results = ["n_lines", "n_dropped", "kept"]
+    return rows.select(*[F.col("others").getField(c).alias(c) for c in names], *[F.col(c).alias(free(names, c)) for c in results])
+
+
+def without_repeated_lines(docs: DataFrame, **settings) -> DataFrame:
+    """The documents with what stays of their texts, and n_chars, where they have it, after it; all other columns as they are."""
+    rows = dedup_lines(docs, **settings)
+    kept = column(free([c for c in docs.columns if c != "text"], "kept"))
+    return rows.select(*[kept.alias(c) if c == "text" else F.char_length(kept).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else column(c) for c in docs.columns])
