@@ -59,12 +59,6 @@ def decontam_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-def pipeline_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup_query,
     "op2_url_filter": url_filter_query,
@@ -76,7 +70,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": license_scan_query,
     "op9_quality_rules": quality_rules_query,
     "op10_decontamination": decontam_query,
-    "pipeline": pipeline_query,
 }
 
 _LINES = """
