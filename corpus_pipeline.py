@@ -7,7 +7,6 @@ and read again as the next one's docs. All but the last return the columns of do
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from inkspark.llm import decontam, line_dedup, near_dedup, packing, quality_rules
 from inkspark.llm.common import read, save, work_dir
@@ -21,8 +20,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of three documents or more stay in the largest doc_id only; n_chars follows the text."""
-    rows = line_dedup.dedup_lines(docs)
-    return rows.select(*[F.col("kept").alias("text") if c == "text" else F.char_length("kept").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    return line_dedup.without_repeated_lines(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +46,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: The last two stages' methods (tokenizer, packing) have no SQL; the stages are tested against brute force.
+#: The packing stage (tokenizer, packing) has no SQL; each stage and run() are tested against a plain Python pipeline.
 ORACLE_SQL = None
 
 
