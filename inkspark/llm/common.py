@@ -64,16 +64,17 @@ def free(taken: list[str], wanted: str) -> str:
     return wanted
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, keys: str | list[str], how: str = "inner") -> DataFrame:
     """left (a saved table) joined with right, which has one row for each key, where a key may have any share of left's rows.
 
     Keys of more than `FEW_ROWS` rows, and of more than one in `BROADCAST_ROWS`, are counted first. There are fewer than
     `BROADCAST_ROWS` of them: their rows of right are broadcast, and left's rows with them stay where they are.
     """
-    most = max(FEW_ROWS, left.count() // BROADCAST_ROWS)
-    often = left.groupBy(key).agg(F.count(F.lit(1)).alias("often")).where((F.col("often") > most) & F.col(key).isNotNull()).select(key)
-    often = F.broadcast(often)
+    keys = [keys] if isinstance(keys, str) else keys
+    often = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("often")).where(F.col("often") > max(FEW_ROWS, left.count() // BROADCAST_ROWS))
+    often = left.sparkSession.createDataFrame(often.select(*keys).dropna().collect(), left.select(*keys).schema)  # bounded as said
     if often.isEmpty():
-        return left.join(right, key, how)
-    hot = left.join(often, key, "left_semi").join(F.broadcast(right.join(often, key, "left_semi")), key, how)
-    return hot.unionByName(left.join(often, key, "left_anti").join(right, key, how))
+        return left.join(right, keys, how)
+    often = F.broadcast(often)
+    hot = left.join(often, keys, "left_semi").join(F.broadcast(right.join(often, keys, "left_semi")), keys, how)
+    return hot.unionByName(left.join(often, keys, "left_anti").join(right, keys, how))

@@ -14,12 +14,15 @@ A document's set is its distinct five-word shingles (`shingles.py`); two documen
    about `block_shingles` shingles or `block_docs` documents: first every block with the cluster's most typical document, then the blocks of
    those that aren't linked with it against all blocks. A task gets two blocks, whatever the cluster's size, and emits
    only links that join separate groups, fewer than it has documents; it never emits all pairs.
-5. Connected components over the links by min-label propagation with pointer jumping, each round written out.
+5. Connected components of the classes over the links by min-label propagation with pointer jumping, each round written
+   out. Only then the documents look their class's component up: copies never enter the pairs, links or components.
+
+Joins on a value, cluster, class or node that very many rows may share go through `common.lookup`: these few keys are broadcast.
 
 Defined cases: a null or empty text, or one without words, has an empty set and no links (its own component); fewer
 than five words make one shingle; repeated rows and ties join one class; rows sharing a doc_id get one component; a
 row without doc_id has null component_id and stays (kept); an empty table gives an empty result; columns other than
-doc_id and text are carried along.
+doc_id and text are ignored by `near_duplicates` and kept as they are, whatever their names, by `keep_one`.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkspark.llm import shingles
-from inkspark.llm.common import save, work_dir
+from inkspark.llm.common import lookup, save, work_dir
 
 #: The chance at which a linked pair may share fewer retained values than step 2 assumes.
 MISS = 1e-8
@@ -74,16 +77,16 @@ def sketches(docs: DataFrame, k: int = 64, width: int = 5) -> DataFrame:
     return rows.mapInArrow(_sketches(k, width), "doc_id long, n_shingles long, f1 long, f2 long, sketch array<long>")
 
 
-def _prefixes(reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The rarest retained values (rep, value, df) of each class that can give links; only values that two or more have."""
+def _prefixes(reps: DataFrame, k: int, num: int, den: int, root: str) -> DataFrame:
+    """The rarest retained values (rep, value) of each class that can give links; only values that two or more have."""
     t = least_shared(k, num, den)
     postings = reps.select("rep", F.explode("sketch").alias("value"))
-    common = postings.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    common = save(postings.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), f"{root}/frequencies")
     size = F.size("sketch")
     # with sets so small that all partners' sketches are whole sets too, the share is known exactly
     least = F.when((F.col("n_shingles") * den / num).cast("long") <= k, F.ceil(F.col("n_shingles") * num / F.lit(den))).otherwise(F.lit(t))
     sizes = reps.select("rep", size.alias("m"), (size - F.least(least, size) + 1).alias("enter"))
-    shared = postings.join(common, "value").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("shared"))
+    shared = lookup(postings, common, "value").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("shared"))
     return (
         shared.join(sizes, "rep")
         .withColumn("enter", F.col("enter") - (F.col("m") - F.size("shared")))
@@ -186,26 +189,27 @@ def components(links: DataFrame, root: str, name: str) -> DataFrame:
     both = save(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), f"{root}/{name}-links")
     label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp"))
     label = save(label, f"{root}/{name}-0")
-    for step in range(1, 200):
-        near = both.join(label.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        new = label.join(near, "node").select("node", F.least("comp", "near").alias("next"), "comp")
+    step = 0
+    while True:  # labels only fall, so that they settle
+        step += 1
+        near = lookup(both, label.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
+        new = save(label.join(near, "node").select("node", F.least("comp", "near").alias("next"), "comp"), f"{root}/{name}-{step}-near")
         jump = label.select(F.col("node").alias("next"), F.col("comp").alias("top"))
-        new = save(new.join(jump, "next", "left").select("node", F.least("next", F.coalesce("top", "next")).alias("comp"), F.col("comp").alias("old")), f"{root}/{name}-{step}")
+        new = save(lookup(new, jump, "next", "left").select("node", F.least("next", F.coalesce("top", "next")).alias("comp"), F.col("comp").alias("old")), f"{root}/{name}-{step}")
         label = new.select("node", "comp")
         if new.where("comp <> old").isEmpty():
             return label
-    raise RuntimeError("components did not settle")
 
 
 def _hot_links(hot: DataFrame, reps: DataFrame, docs: DataFrame, root: str, width: int, num: int, den: int, block_shingles: int, block_docs: int) -> DataFrame:
     """Links (a, b) among classes sharing the long lists `hot` (rep, value)."""
     # a list links its members with its smallest one; a cluster is named by its smallest member
     first = hot.groupBy("value").agg(F.min("rep").alias("a"))
-    cluster = components(hot.join(first, "value").select("a", F.col("rep").alias("b")), root, "clusters").select(F.col("node").alias("rep"), F.col("comp").alias("cluster"))
+    cluster = components(lookup(hot, first, "value").select("a", F.col("rep").alias("b")), root, "clusters").select(F.col("node").alias("rep"), F.col("comp").alias("cluster"))
     weight = hot.groupBy("rep").agg(F.count(F.lit(1)).alias("weight"))
-    members = cluster.join(weight, "rep").join(reps.select("rep", "n_shingles"), "rep")
+    members = save(cluster.join(weight, "rep").join(reps.select("rep", "n_shingles"), "rep"), f"{root}/members")
     shape = members.groupBy("cluster").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("center"), F.ceil(F.greatest(F.sum("n_shingles") / block_shingles, F.count(F.lit(1)) / block_docs)).alias("blocks"))
-    members = members.join(shape, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    members = lookup(members, shape, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     texts = save(members.join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep"), f"{root}/hot")
     schema = "a long, b long"
     link = _block_links(width, num, den)
@@ -215,11 +219,11 @@ def _hot_links(hot: DataFrame, reps: DataFrame, docs: DataFrame, root: str, widt
     others = texts.where("rep <> center").select("cluster", "block", "rep", "text", no.alias("is_left"), yes.alias("is_right"))
     near = save(centers.unionByName(others).groupBy("cluster", "block").applyInPandas(link, schema), f"{root}/hot-center")
 
-    apart = texts.where("rep <> center").join(near.select(F.col("b").alias("rep")), "rep", "left_anti").select("cluster", "rep").withColumn("apart", yes)
-    marked = texts.join(apart.select("rep", "apart"), "rep", "left").withColumn("apart", F.coalesce("apart", no))
-    lefts = marked.where("apart").select("cluster", "block").distinct().withColumnRenamed("block", "left_block")
+    apart = texts.where("rep <> center").join(near.select(F.col("b").alias("rep")), "rep", "left_anti").select("rep").withColumn("apart", yes)
+    marked = save(texts.join(apart, "rep", "left").withColumn("apart", F.coalesce("apart", no)), f"{root}/hot-marked")
+    lefts = marked.where("apart").groupBy("cluster").agg(F.collect_set("block").alias("left_blocks"))  # numbers of a cluster's blocks
     # every block meets each block that has unlinked documents; of two such blocks, the smaller is left
-    right = marked.join(lefts, "cluster").where(~F.col("apart") | (F.col("left_block") <= F.col("block")))
+    right = lookup(marked, lefts, "cluster").withColumn("left_block", F.explode("left_blocks")).where(~F.col("apart") | (F.col("left_block") <= F.col("block")))
     right = right.select("cluster", "left_block", "block", "rep", "text", (F.col("apart") & (F.col("block") == F.col("left_block"))).alias("is_left"), yes.alias("is_right"))
     spread = marked.where("apart").select("cluster", F.col("block").alias("left_block"), "rep", "text", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("block"))
     left = spread.where("block <> left_block").select("cluster", "left_block", "block", "rep", "text", yes.alias("is_left"), no.alias("is_right"))
@@ -234,29 +238,36 @@ def near_duplicates(docs: DataFrame, k: int = 64, width: int = 5, percent: int =
     num, den = percent // math.gcd(percent, 100), 100 // math.gcd(percent, 100)
     sketch = save(sketches(docs, k, width), f"{root}/sketches")
     full = sketch.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    key = ["f1", "f2", "n_shingles"]
+    classes = save(full.groupBy(*key).agg(F.min("doc_id").alias("rep")), f"{root}/class-keys")
     reps = save(full.join(classes.select("rep").distinct(), full["doc_id"] == F.col("rep"), "left_semi").groupBy(F.col("doc_id").alias("rep"), "n_shingles", "f1", "f2").agg(F.first("sketch").alias("sketch")), f"{root}/classes")
-    lists = save(_prefixes(reps, k, num, den), f"{root}/lists")
-    sizes = lists.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    low = lists.join(sizes.where(f"n between 2 and {small}"), "value").drop("n").join(reps.select("rep", F.col("n_shingles").alias("size")), "rep")
+    lists = save(_prefixes(reps, k, num, den, root), f"{root}/lists")
+    sizes = save(lists.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"{root}/list-sizes")
+    sized = save(lookup(lists, sizes, "value"), f"{root}/sized-lists")
+    low = sized.where(f"n <= {small}").drop("n").join(reps.select("rep", F.col("n_shingles").alias("size")), "rep")
     x, y = low.select("value", F.col("rep").alias("a"), F.col("size").alias("na")), low.select("value", F.col("rep").alias("b"), F.col("size").alias("nb"))
     pairs = x.join(y, "value").where((F.col("a") < F.col("b")) & (den * F.col("na") >= num * F.col("nb")) & (den * F.col("nb") >= num * F.col("na"))).select("a", "b", "na", "nb").distinct()
     of = reps.select("rep", "sketch")
     pairs = pairs.join(of.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a").join(of.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
     pairs = save(pairs.mapInArrow(_estimated(k, num, den), "a long, b long"), f"{root}/pairs")
 
-    hot = save(lists.join(sizes.where(f"n > {small}"), "value").select("rep", "value"), f"{root}/long-lists")
+    hot = save(sized.where(f"n > {small}").select("rep", "value"), f"{root}/long-lists")
     wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(hot.select("rep")).distinct()
     texts = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), F.col("doc_id") == F.col("rep"), "left_semi"), f"{root}/texts")
     one, two = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     links = save(pairs.join(one, "a").join(two, "b").mapInArrow(_verified(width, num, den), "a long, b long"), f"{root}/links")
     if not hot.isEmpty():
         links = links.unionByName(_hot_links(hot, reps, texts, root, width, num, den, block_shingles, block_docs))
-    members = full.join(classes, ["f1", "f2", "n_shingles"]).select("doc_id", "rep")
-    shared = members.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    found = components(links.unionByName(shared), root, "components")
-    out = sketch.select("doc_id", "n_shingles").join(found, sketch["doc_id"] == found["node"], "left")
-    comp = F.coalesce("comp", "doc_id")
+    # a doc_id with rows in several classes links them
+    mixed = full.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("low"), F.max(F.struct(*key)).alias("high")).where("low <> high").select("doc_id")
+    mixed = save(mixed, f"{root}/mixed")
+    if not mixed.isEmpty():
+        rows = save(lookup(full.select("doc_id", *key), mixed, "doc_id"), f"{root}/mixed-rows")
+        links = links.unionByName(lookup(rows, classes, key).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    found = components(links, root, "components")
+    classes = classes.join(found, classes["rep"] == found["node"], "left").select(*key, F.coalesce("comp", "rep").alias("comp"))
+    out = lookup(sketch.select("doc_id", *key), classes, key, "left")
+    comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
 
 
