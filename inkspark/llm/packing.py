@@ -2,7 +2,7 @@
 
 Documents are cut into pieces of at most `length` tokens (only longer ones are). What matters for packing is how many
 pieces there are of each length: a table of at most `length` counts, whatever the corpus's size. `plan` works on it.
-From the longest length down it starts a sequence with a piece, looks the gap up among single lengths, pair sums and
+From the longest length down it starts a sequence with a piece, looks the gap up in indexes of the single lengths, pair sums and
 triple sums of what is available and consumes the combination that fills the gap exactly, as many times at once as the
 counts allow. If none does, the longest piece that fits is added first. Sequences that can't be filled exactly are
 residuals: their pieces go, best fit first, into the smallest gaps that hold them.
@@ -12,7 +12,7 @@ intervals of ranks, so that each piece finds its sequence and place by a search
 executors. No piece is collected or moved.
 
 Defined cases: a null text is an empty one, whose only token is the end id; rows without doc_id and repeated rows are
-packed as any other; an empty table gives an empty result.
+packed as any other; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,21 +30,40 @@ from inkspark.llm.common import save, work_dir
 from inkspark.llm.tokens import batches_of, encoder
 
 
+def _bits(places) -> int:
+    return sum(1 << n for n in places)
+
+
 class _Available:
-    """Counts by length, with an index of the lengths and of the pair sums that they give."""
+    """Counts by length, indexed by the sums of one, two and three lengths.
+
+    An index has a bit for each sum. Its mirror image, shifted to a gap, has a bit for each length whose complement to the
+    gap is a sum, so that the lengths that begin a combination filling a gap come from one intersection.
+    """
 
     def __init__(self, counts: dict[int, int]):
         self.counts = {n: c for n, c in counts.items() if c}
+        self.top = 3 * max(self.counts, default=0)
         self._index()
 
     def _index(self) -> None:
         self.lengths = sorted(self.counts, reverse=True)
-        bits = sum(1 << n for n in self.lengths)
-        self.singles, self.pairs = bits, 0
+        self.singles = _bits(self.lengths)
+        self.pairs = self.triples = 0
         for n in self.lengths:
-            self.pairs |= bits << n
+            self.pairs |= self.singles << n
+        for n in self.lengths:
+            self.triples |= self.pairs << n
+        self.mirrored_singles, self.mirrored_pairs = self._mirrored(self.singles), self._mirrored(self.pairs)
         self.stale = 0
 
+    def _mirrored(self, bits: int) -> int:
+        return int(format(bits, f"0{self.top + 1}b")[::-1], 2)
+
+    def _beginnings(self, gap: int, mirrored: int) -> int:
+        """The lengths whose complement to the gap is in the mirrored index."""
+        return self.singles & (mirrored >> (self.top - gap)) & ((1 << gap) - 1)
+
     def take(self, pattern: Counter, times: int) -> None:
         for n, k in pattern.items():
             self.counts[n] -= k * times
@@ -57,23 +76,36 @@ class _Available:
     def has(self, need: Counter) -> bool:
         return all(self.counts.get(n, 0) >= k for n, k in need.items())
 
+    def _pair(self, gap: int, held: Counter, most: int) -> Counter | None:
+        """Two available lengths of at most `most` that fill the gap, the longest first."""
+        some = self._beginnings(gap, self.mirrored_singles) & ((1 << (most + 1)) - 1)
+        while some:
+            a = some.bit_length() - 1
+            if 2 * a < gap:
+                return None
+            fill = Counter([a, gap - a])
+            if self.has(held + fill):
+                return fill
+            some ^= 1 << a
+        return None
+
     def exact(self, gap: int, held: Counter) -> Counter | None:
         """One to three lengths that fill the gap and are available besides what is held."""
+        if gap > self.top:
+            return None
         if self.singles >> gap & 1 and self.has(held + Counter([gap])):
             return Counter([gap])
-        if self.pairs >> gap & 1:
-            for a in self.lengths:
-                if a < gap and self.singles >> (gap - a) & 1 and 2 * a >= gap and self.has(held + Counter([a, gap - a])):
-                    return Counter([a, gap - a])
-        for a in self.lengths:
-            if a >= gap or a not in self.counts or not self.pairs >> (gap - a) & 1:
-                continue
-            for b in self.lengths:
-                c = gap - a - b
-                if b <= a and 0 < c <= b and self.singles >> c & 1 and self.has(held + Counter([a, b, c])):
-                    return Counter([a, b, c])
-            if 3 * a < gap:
-                break
+        if self.pairs >> gap & 1 and (fill := self._pair(gap, held, gap)):
+            return fill
+        if self.triples >> gap & 1:
+            some = self._beginnings(gap, self.mirrored_pairs)
+            while some:
+                a = some.bit_length() - 1
+                if 3 * a < gap:
+                    return None
+                if self.has(held + Counter([a])) and (fill := self._pair(gap - a, held + Counter([a]), a)):
+                    return fill + Counter([a])
+                some ^= 1 << a
         return None
 
     def longest(self, gap: int, held: Counter) -> int | None:
