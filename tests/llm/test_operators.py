@@ -304,14 +304,27 @@ def test_quality_rules(docs, texts, empty):
 
 def test_rules_are_sampled_from_the_whole_table(spark):
     rows = spark.range(0, 40_000, 1, 8).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
-    drawn = [int(r["text"]) for r in quality_rules.sample(rows, 2000)]
+    drawn = [int(r["text"]) for r in quality_rules.sample(rows, 2000).collect()]
     parts = collections.Counter(i // 5000 for i in drawn)
     assert 1800 < len(drawn) < 2200 and len(parts) == 8 and min(parts.values()) > 150
-    assert len(quality_rules.sample(rows.limit(50), 2000)) == 50 and quality_rules.sample(rows.where("false"), 2000) == []
-    assert len(quality_rules.sample(rows.withColumn("doc_id", F.lit(1)), 2000)) in (0, 4000)
+    assert quality_rules.sample(rows.limit(50), 2000).count() == 50 and quality_rules.sample(rows.where("false"), 2000).count() == 0
+    assert quality_rules.sample(rows.withColumn("doc_id", F.lit(1)), 2000).count() in (0, 4000)
     # the first rows break no rule, the others have too many symbols
     text = F.when(F.col("doc_id") < 5000, F.repeat(F.lit("some words that end. "), 10)).otherwise(F.repeat(F.lit("# "), 30))
-    assert {r["text"][0] for r in quality_rules.sample(rows.withColumn("text", text), 2000)} == {"s", "#"}
+    assert {r["text"][0] for r in quality_rules.sample(rows.withColumn("text", text), 2000).collect()} == {"s", "#"}
+
+
+def test_rules_are_ordered_by_what_is_left(spark, monkeypatch):
+    # `few_words` and `word_length` reject the same rows: after one of them, the other has nothing left
+    good, symbols = "some words that end here. " + " ".join(f"word{i}" for i in range(30)), "# a " * 5 + " ".join(f"word{i}" for i in range(30))
+    rows = [(i, "a b c") for i in range(60)] + [(i, symbols) for i in range(60, 100)] + [(i, good) for i in range(100, 200)]
+    monkeypatch.setattr(quality_rules, "cost", lambda some, rule: 1.0)
+    order = quality_rules.order_rules(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert set(order[:2]) == {"symbols", "few_words"} or set(order[:2]) == {"symbols", "word_length"}
+    monkeypatch.undo()
+    some = spark.createDataFrame([(good, good.split())] * 300, "text string, words array<string>").coalesce(1)
+    named = quality_rules.rules(F.col("text"), F.col("words"))
+    assert quality_rules.cost(some, named["repeated_windows"]) > quality_rules.cost(some, named["few_words"])
 
 
 def test_sharding(spark, docs, texts, empty):
