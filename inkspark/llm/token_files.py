@@ -7,12 +7,14 @@ frame its compressed size, its size and the low 32 bits of the XXH64 of its cont
 descriptor byte 0x80 and the magic 0x8F92EAB1). A reader fetches the footer, the table and the directory, and then
 decompresses only the frames of the documents asked for, checking each. Plain zstandard readers see the ids as one stream.
 
-`write` compresses each document where it is read, deals the frames to shards by ranges of doc_id and writes one file a
-shard under a temporary name that is renamed when whole, so that a retried task leaves no torn file. Its manifest
-(shard, path, first and last doc_id, documents, tokens) is a Parquet table beside the files.
-
-Defined cases: a null text is an empty one, whose only id is the end id; repeated rows are written each, ordered by
-their content; a row without doc_id comes first; an empty table writes no files and reads back as no rows.
+`write` deals the documents to shards of about `shard_bytes` bytes of text by ranges of (doc_id, a hash of the text), so that
+rows without doc_id or with the same one can be split too. The ranges' bounds come from a sample of doc_ids, hashes and lengths,
+of `SAMPLED` rows or 8 for each shard if that is more. Each document is compressed where it is read; its frame goes to its
+shard's task, which writes one file under a temporary name that is renamed when whole, so that a retried task leaves no torn
+file. The manifest (shard, path, first and last doc_id, documents, tokens) is a Parquet table beside the files.
+
+Defined cases: a null text is an empty one, whose only id is the end id; repeated rows are written each, ordered by a hash of
+their texts; rows without doc_id come first; other columns are ignored; an empty table writes no files and reads back as no rows.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ from inkspark.llm.tokens import batches_of, encoder
 # Fixed values of the public seekable format.
 SKIPPABLE_SEEK, SKIPPABLE_DIRECTORY, SEEKABLE_MAGIC, CHECKSUM_FLAG = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1, 0x80
 _HEAD, _ENTRY, _FOOT = struct.Struct("<II"), struct.Struct("<III"), struct.Struct("<IBI")
+#: How many rows the shards' bounds are taken from, 24 bytes each on the driver.
+SAMPLED = 20_000
 #: doc_id in a file's directory for a row without one.
 NO_ID = -(1 << 63)
 
@@ -74,13 +78,29 @@ class Reader:
         self.starts = np.concatenate([[0], np.cumsum(self.entries[:, 0], dtype=np.int64)])
         self.decompressor = zstandard.ZstdDecompressor()
 
+    def run(self, first: int, last: int) -> Iterator[np.ndarray]:
+        """The ids of the documents in the frames from first to before last, read at once; ValueError if a frame hasn't its checksum."""
+        self.file.seek(int(self.starts[first]))
+        raw = memoryview(self.file.read(int(self.starts[last] - self.starts[first])))
+        for place in range(first, last):
+            at = int(self.starts[place] - self.starts[first])
+            size, content, checksum = self.entries[place].tolist()
+            ids = self.decompressor.decompress(raw[at : at + size], max_output_size=content)
+            if xxhash.xxh64_intdigest(ids) & 0xFFFFFFFF != checksum:
+                raise ValueError(f"frame {place} is damaged")
+            yield np.frombuffer(ids, f"<u{self.width}")
+
     def ids(self, place: int) -> np.ndarray:
-        """The ids of the document in a frame; ValueError if they don't have the checksum."""
-        self.file.seek(int(self.starts[place]))
-        raw = self.decompressor.decompress(self.file.read(int(self.entries[place, 0])), max_output_size=int(self.entries[place, 1]))
-        if xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF != int(self.entries[place, 2]):
-            raise ValueError(f"frame {place} is damaged")
-        return np.frombuffer(raw, f"<u{self.width}")
+        """The ids of the document in a frame."""
+        return next(self.run(place, place + 1))
+
+    def runs(self, most: int) -> Iterator[tuple[int, int]]:
+        """All frames in runs of about `most` compressed bytes."""
+        first = 0
+        while first < len(self.doc_ids):
+            last = max(first + 1, int(np.searchsorted(self.starts, self.starts[first] + most, "right")) - 1)
+            yield first, last
+            first = last
 
     def document(self, doc_id: int) -> list[np.ndarray]:
         """The ids of every document with this doc_id."""
@@ -88,19 +108,19 @@ class Reader:
         return [self.ids(i) for i in range(low, high)]
 
 
-def _frames(path: str, end_id: int, width: int, bounds: list[int]):
+def _frames(path: str, end_id: int, width: int, bounds: list[tuple[int, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, compressor = encoder(path), zstandard.ZstdCompressor(level=1, write_content_size=True)
         for batch in batches:
             ids = batch["doc_id"].to_pylist()
             for first, last, texts in batches_of(batch["text"].to_pylist(), 8_000_000):
                 made = [frame(np.append(x, np.uint32(end_id)), width, compressor) for x in enc.ids(texts)]
-                shard = [bisect.bisect_right(bounds, d) if d is not None else 0 for d in ids[first:last]]
                 some = [NO_ID if d is None else d for d in ids[first:last]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard, pa.int32()), pa.array(some, pa.int64()), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.int64())],
-                    names=["shard", "doc_id", "frame", "size", "checksum"],
-                )
+                ties = batch["tie"][first:last].to_pylist()
+                shard = [bisect.bisect_right(bounds, x) for x in zip(some, ties, strict=True)]
+                columns = [pa.array(shard, pa.int32()), pa.array(some, pa.int64()), pa.array(ties, pa.int64()), pa.array([m[0] for m in made], pa.binary())]
+                columns += [pa.array([m[i] for m in made], pa.int64()) for i in (1, 2)]
+                yield pa.RecordBatch.from_arrays(columns, names=["shard", "doc_id", "tie", "frame", "size", "checksum"])
 
     return run
 
@@ -137,16 +157,34 @@ def _written(root: str, width: int):
     return run
 
 
-def write(docs: DataFrame, root: str, tokenizer: str, end_id: int = 2, shards: int | None = None) -> DataFrame:
-    """Write the documents' ids below root and give the manifest."""
-    spark = docs.sparkSession
+def _bounds(rows: DataFrame, shard_bytes: int, shards: int | None) -> list[tuple[int, int]]:
+    """(doc_id, tie) at which the second and each later shard begins, so that they have about equal bytes."""
+    spark, n = rows.sparkSession, rows.count()
+    keys = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "tie", (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long").alias("bytes"))
+    size = SAMPLED
+    while True:
+        share = min(1.0, size / max(n, 1))
+        drawn = F.pmod(F.xxhash64("doc_id", "tie", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30))
+        some = np.array([tuple(r) for r in keys.where(drawn).collect()], np.int64).reshape(-1, 3)  # `size` rows of three numbers
+        wanted = shards or max(-(-int(some[:, 2].sum() / share) // shard_bytes), min(n, spark.sparkContext.defaultParallelism))
+        if shards or 8 * wanted <= size or share == 1.0:
+            break
+        size = 8 * wanted
+    if wanted < 2 or not len(some):
+        return []
+    some = some[np.lexsort((some[:, 1], some[:, 0]))]
+    before = np.cumsum(some[:, 2]) - some[:, 2]
+    at = np.unique(np.searchsorted(before, before[-1] * np.arange(1, wanted) / wanted))
+    return sorted({(int(some[i, 0]), int(some[i, 1])) for i in at})
+
+
+def write(docs: DataFrame, root: str, tokenizer: str, end_id: int = 2, shards: int | None = None, shard_bytes: int = 64 << 20) -> DataFrame:
+    """Write the documents' ids below root, in so many shards or in ones of about `shard_bytes` of text, and give the manifest."""
     width = 2 if max(encoder(tokenizer).size, end_id + 1) <= 1 << 16 else 4
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    shards = shards or max(1, rows.rdd.getNumPartitions())  # as many as Spark reads the input in
-    parts = [i / shards for i in range(1, shards)]
-    bounds = [int(x) for x in rows.select("doc_id").approxQuantile("doc_id", parts, 0.1 / shards)] if parts else []
-    frames = rows.mapInArrow(_frames(tokenizer, end_id, width, bounds), "shard int, doc_id long, frame binary, size long, checksum long")
-    dealt = frames.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "checksum", "frame")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), "text")
+    bounds = _bounds(rows, shard_bytes, shards)
+    frames = rows.mapInArrow(_frames(tokenizer, end_id, width, bounds), "shard int, doc_id long, tie long, frame binary, size long, checksum long")
+    dealt = frames.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "tie").drop("tie")
     return save(dealt.mapInArrow(_written(root, width), "shard int, file string, first_doc long, last_doc long, n_docs long, n_tokens long"), f"{root}/manifest")
 
 
@@ -157,16 +195,14 @@ def _read(root: str, only: frozenset[int] | None):
             for row in batch.to_pylist():
                 with fs.open_input_file(f"{base}/{row['file']}") as file:
                     reader = Reader(file)
-                    start, rows = row["before"], []
-                    for place, (doc, size) in enumerate(zip(reader.doc_ids.tolist(), (reader.entries[:, 1] // reader.width).tolist(), strict=True)):
-                        if only is None or doc in only:
-                            raw = reader.ids(place).astype("<u4").tobytes()
-                            rows.append((None if doc == NO_ID else doc, start, size, raw))
-                        start += size
-                        if len(rows) >= 512:
-                            yield _batch(rows)
-                            rows = []
-                    yield _batch(rows)
+                    starts = row["before"] + np.concatenate([[0], np.cumsum(reader.entries[:, 1] // reader.width, dtype=np.int64)])
+                    wanted = [(i, i + 1) for i, d in enumerate(reader.doc_ids.tolist()) if d in only] if only is not None else reader.runs(1 << 20)
+                    for first, last in wanted:
+                        rows = []
+                        for place, found in enumerate(reader.run(first, last), first):
+                            doc = int(reader.doc_ids[place])
+                            rows.append((None if doc == NO_ID else doc, int(starts[place]), len(found), found.astype("<u4").tobytes()))
+                        yield _batch(rows)
 
     return run
 

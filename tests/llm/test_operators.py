@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from inkspark.llm import decontam, license_scan, line_dedup, near_dedup, packing, quality_classifier, quality_rules, sharding, shingles, token_files, tokens, url_filter
@@ -212,10 +213,21 @@ def test_token_files(spark, docs, texts, empty):
     file = next(r["path"] for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.zst").load(root).collect())
     raw = bytearray(open(file.removeprefix("file:"), "rb").read())
     assert len(token_files.Reader(io.BytesIO(raw)).document(int(token_files.Reader(io.BytesIO(raw)).doc_ids[0]))) == 1
-    raw[-9 - 12] ^= 0  # the table itself is intact
-    raw[int(token_files.Reader(io.BytesIO(raw)).starts[1]) - 1] ^= 1
+    first = token_files.Reader(io.BytesIO(raw))
+    broken = bytearray(raw)
+    broken[int(first.starts[1]) - 1] ^= 1
     with pytest.raises(Exception, match="damaged|decompress"):
-        token_files.Reader(io.BytesIO(raw)).ids(0)
+        token_files.Reader(io.BytesIO(broken)).ids(0)
+    # a frame that decompresses to as many other ids is told by its checksum
+    other = zstandard.ZstdCompressor(level=1, write_content_size=True)
+    for size in range(1, 9):
+        content = np.arange(size, dtype="<u2")
+        made, length, checksum = token_files.frame(content, 2, other)
+        entry = (len(made), length, checksum ^ 1)
+        with pytest.raises(ValueError, match="damaged"):
+            token_files.Reader(io.BytesIO(made + token_files.trailer([7], 2, [entry]))).ids(0)
+        assert token_files.Reader(io.BytesIO(made + token_files.trailer([7], 2, [(*entry[:2], checksum)]))).ids(0).tolist() == content.tolist()
+    assert [x.tolist() for x in first.run(0, 2)] == [first.ids(0).tolist(), first.ids(1).tolist()] and [a for a, _ in first.runs(1)] == list(range(len(first.doc_ids)))
     assert token_files.round_trip(empty, path).count() == 0
 
 
@@ -426,3 +438,14 @@ def test_pipeline_gives_the_plain_pipeline_s_rows(spark, tmp_path):
         pieces |= {(i, k, s, len(ids[s : s + 4096]), zlib.crc32(np.array(ids[s : s + 4096], "<u4").tobytes())) for k, s in enumerate(range(0, len(ids), 4096))}
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows} == pieces and len(rows) == len(pieces)
+
+
+def test_token_files_split_rows_of_one_doc_id(spark):
+    path, root = tokenizer_path("byte_bpe_50k.json"), work_dir(spark, "t")
+    rows = [(None, f"text number {i}") for i in range(200)] + [(5, f"other text {i % 50}") for i in range(200)]
+    made = token_files.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), root, path, 2, shards=8).collect()
+    assert len(made) >= 7 and max(r["n_docs"] for r in made) <= 120 and sum(r["n_docs"] for r in made) == 400
+    got = token_files.read(spark, root).collect()
+    assert sum(r["doc_id"] is None for r in got) == 200 and len(got) == 400
+    ends = sorted((r["start"], r["n_tokens"]) for r in got)
+    assert all(a + n == b for (a, n), (b, _) in zip(ends, ends[1:], strict=False))
