@@ -5,23 +5,25 @@
 where a tier has `fanout` of them or more, reads them packed up to the target size and writes one new shard for each
 packed group: Spark's own packing of files into read partitions does the merge, with no shuffle and no driver loop over rows.
 Every change is one new manifest version, a Parquet folder that is written aside and committed by an exclusive rename
-to manifest/v<n>: a second writer of the same version fails, and readers see whole versions only. Shards are never
-changed; those that a version no longer lists are deleted only by `vacuum`.
-
-Defined cases: null and empty texts, repeated rows and extra columns are kept as they are; an empty arrival still makes
-a version; an empty store reads as no rows.
+to manifest/v<n>: a second writer of the same version fails, and readers see whole versions only. That holds where a folder's
+rename is atomic and fails if the target exists (HDFS, local disks); on object stores, whose rename copies, let one
+writer commit at a time. Shards are never changed; `vacuum` deletes those that older versions list and the kept one doesn't, and
+leaves files alone that no version lists yet: another writer may be about to commit them.
+
+Defined cases: null and empty texts, rows without doc_id, repeated rows and extra columns of any name are kept as they are
+(`shard` and `tier` get `_` added to their names where the table has such a column); an empty arrival still makes a version;
+an empty store reads as no rows.
 """
 
 from __future__ import annotations
 
 import uuid
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from inkspark.llm.common import BROADCAST_ROWS, remove, work_dir
+from inkspark.llm.common import BROADCAST_ROWS, column, free, remove, work_dir
 
 MANIFEST = "version long, shard string, arrival string, tier int, bytes long, rows long"
 
@@ -30,19 +32,6 @@ class ConflictError(RuntimeError):
     """Another writer has committed the version first."""
 
 
-@contextmanager
-def _conf(spark: SparkSession, **settings: str):
-    names = {k.replace("__", "."): v for k, v in settings.items()}
-    old = {k: spark.conf.get(k, None) for k in names}
-    try:
-        for k, v in names.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 class ShardStore:
     """Shards of one table below `root`."""
 
@@ -74,10 +63,9 @@ class ShardStore:
         if self.fs.exists(target) or not self.fs.rename(self.path(aside), target) or self.fs.exists(self.path(f"{target}/{aside.rpartition('/')[2]}")):
             raise ConflictError(f"version {version} exists")
 
-    def _write(self, rows: DataFrame, arrival: str) -> DataFrame:
-        """Write rows as new shards; their manifest entries."""
+    def _entries(self, arrival: str) -> DataFrame:
+        """The manifest entries of an arrival's shards; rows are counted in the files' footers."""
         folder = f"{self.root}/shards/{arrival}"
-        rows.write.parquet(folder)
         files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"))
         counts = self.spark.read.schema(self.schema).parquet(folder).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("rows"))
         tier = F.floor(F.log(F.greatest(F.col("bytes"), F.lit(self.base)) / self.base) / F.log(F.lit(float(self.fanout)))).cast("int")
@@ -87,8 +75,9 @@ class ShardStore:
     def append(self, rows: DataFrame) -> int:
         """Add an arrival; the new version."""
         version = self.version()
-        entries = self._write(rows.select(*[F.col(f"`{f.name}`") for f in self.schema]), f"a{version + 1}-{uuid.uuid4().hex[:8]}")
-        self.commit(self.manifest(version).drop("version").unionByName(entries), version + 1)
+        arrival = f"a{version + 1}-{uuid.uuid4().hex[:8]}"
+        rows.select(*[column(f.name) for f in self.schema]).write.parquet(f"{self.root}/shards/{arrival}")
+        self.commit(self.manifest(version).drop("version").unionByName(self._entries(arrival)), version + 1)
         return version + 1
 
     def compact(self) -> int:
@@ -102,11 +91,13 @@ class ShardStore:
                 return version
             chosen = [r["shard"] for r in open_.where(F.col("tier") == full).orderBy("shard").collect()]  # file names, as a listing has
             arrival = f"m{version + 1}-{uuid.uuid4().hex[:8]}"
-            packing = {"spark__sql__files__maxPartitionBytes": str(self.target), "spark__sql__files__openCostInBytes": "0", "spark__sql__files__minPartitionNum": "1"}
-            with _conf(self.spark, **packing):
-                rows = self.spark.read.schema(self.schema).parquet(*[f"{self.root}/shards/{s}" for s in chosen])
-                entries = self._write(rows, arrival).cache()
-                merged = entries.count()
+            # files are packed up to the target by settings of a session of its own
+            packer = self.spark.newSession()
+            for key, value in (("maxPartitionBytes", self.target), ("openCostInBytes", 0), ("minPartitionNum", 1)):
+                packer.conf.set(f"spark.sql.files.{key}", str(value))
+            packer.read.schema(self.schema).parquet(*[f"{self.root}/shards/{s}" for s in chosen]).write.parquet(f"{self.root}/shards/{arrival}")
+            entries = self._entries(arrival).cache()
+            merged = entries.count()
             gone = self.spark.createDataFrame([(s,) for s in chosen], "shard string")
             self.commit(listed.drop("version").join(gone, "shard", "left_anti").unionByName(entries), version + 1)
             entries.unpersist()
@@ -116,26 +107,27 @@ class ShardStore:
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version, with `shard` and `tier`."""
         listed = self.manifest(version)
+        own = [f.name for f in self.schema]
+        shard, tier = free(own, "shard"), free(own, "tier")
         names = [r["shard"] for r in listed.select("shard").collect()]  # file names, as a listing has
         if not names:
-            return self.spark.createDataFrame([], self.schema).withColumns({"shard": F.lit(""), "tier": F.lit(0)})
+            return self.spark.createDataFrame([], self.schema).withColumns({shard: F.lit(""), tier: F.lit(0)})
         rows = self.spark.read.schema(self.schema).parquet(*[f"{self.root}/shards/{s}" for s in names])
-        rows = rows.withColumn("shard", F.concat_ws("/", F.element_at(F.split("_metadata.file_path", "/"), -2), "_metadata.file_name"))
-        tiers = listed.select("shard", "tier")
-        return rows.join(F.broadcast(tiers) if len(names) <= BROADCAST_ROWS else tiers, "shard")
+        rows = rows.withColumn(shard, F.concat_ws("/", F.element_at(F.split("_metadata.file_path", "/"), -2), "_metadata.file_name"))
+        tiers = listed.select(F.col("shard").alias(shard), F.col("tier").alias(tier))
+        tiers = F.broadcast(tiers) if len(names) <= BROADCAST_ROWS else tiers
+        return rows.join(tiers, shard).select(*[column(c) for c in own], shard, tier)
 
     def vacuum(self, keep_version: int | None = None) -> None:
-        """Delete the shards that the kept version (the newest by default) doesn't list, and older manifests."""
+        """Delete older manifests than the kept version's (the newest by default), and their shards that it doesn't list."""
         version = self.version() if keep_version is None else keep_version
         kept = {r["shard"] for r in self.manifest(version).select("shard").collect()}
         for old in range(1, version):
+            if not self.fs.exists(self.path(f"{self.root}/manifest/v{old}")):
+                continue
+            for shard in {r["shard"] for r in self.manifest(old).select("shard").collect()} - kept:
+                self.fs.delete(self.path(f"{self.root}/shards/{shard}"), False)
             remove(self.spark, f"{self.root}/manifest/v{old}")
-        folder = self.path(f"{self.root}/shards")
-        for arrival in self.fs.listStatus(folder) if self.fs.exists(folder) else []:
-            name = arrival.getPath().getName()
-            for file in self.fs.listStatus(arrival.getPath()):
-                if f"{name}/{file.getPath().getName()}" not in kept and file.getPath().getName().endswith(".parquet"):
-                    self.fs.delete(file.getPath(), False)
 
 
 def shard_documents(docs: DataFrame, arrivals: int = 4, **settings) -> DataFrame:
