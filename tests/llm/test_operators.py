@@ -330,13 +330,14 @@ def test_rules_are_ordered_by_what_is_left(spark, monkeypatch):
     # `few_words` and `word_length` reject the same rows: after one of them, the other has nothing left
     good, symbols = "some words that end here. " + " ".join(f"word{i}" for i in range(30)), "# a " * 5 + " ".join(f"word{i}" for i in range(30))
     rows = [(i, "a b c") for i in range(60)] + [(i, symbols) for i in range(60, 100)] + [(i, good) for i in range(100, 200)]
-    monkeypatch.setattr(quality_rules, "cost", lambda some, rule: 1.0)
+    monkeypatch.setattr(quality_rules, "costs", lambda some, named: dict.fromkeys(named, 1.0))
     order = quality_rules.order_rules(spark.createDataFrame(rows, "doc_id long, text string"))
     assert set(order[:2]) == {"symbols", "few_words"} or set(order[:2]) == {"symbols", "word_length"}
     monkeypatch.undo()
     some = spark.createDataFrame([(good, good.split())] * 300, "text string, words array<string>").coalesce(1)
     named = quality_rules.rules(F.col("text"), F.col("words"))
-    assert quality_rules.cost(some, named["repeated_windows"]) > quality_rules.cost(some, named["few_words"])
+    took = quality_rules.costs(some, named)
+    assert took["repeated_windows"] > took["few_words"]
 
 
 def test_sharding(spark, docs, texts, empty):
