@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,13 +69,23 @@ def lookup(left: DataFrame, right: DataFrame, keys: str | list[str], how: str =
     """left (a saved table) joined with right, which has one row for each key, where a key may have any share of left's rows.
 
     Keys of more than `FEW_ROWS` rows, and of more than one in `BROADCAST_ROWS`, are counted first. There are fewer than
-    `BROADCAST_ROWS` of them: their rows of right are broadcast, and left's rows with them stay where they are.
+    `BROADCAST_ROWS` of them: their rows of right are broadcast. Left's rows with them have found what they look for then, and
+    are spread by a hash of the whole row in the join that the others' keys take.
     """
     keys = [keys] if isinstance(keys, str) else keys
     often = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("often")).where(F.col("often") > max(FEW_ROWS, left.count() // BROADCAST_ROWS))
     often = left.sparkSession.createDataFrame(often.select(*keys).dropna().collect(), left.select(*keys).schema)  # bounded as said
     if often.isEmpty():
         return left.join(right, keys, how)
-    often = F.broadcast(often)
-    hot = left.join(often, keys, "left_semi").join(F.broadcast(right.join(often, keys, "left_semi")), keys, how)
-    return hot.unionByName(left.join(often, keys, "left_anti").join(right, keys, how))
+    more = [c for c in right.columns if c not in keys]
+    hot = often.join(right.withColumn("_found", F.lit(True)), keys, "left")
+    hot = hot.select(*keys, F.lit(True).alias("_hot"), F.col("_found").alias("_hot_found"), *[F.col(c).alias(f"_hot_{c}") for c in more])
+    marked = left.join(F.broadcast(hot), keys, "left")
+    apart = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys], F.coalesce(F.col("_hot"), F.lit(False)))
+    marked = marked.withColumn("_spread", F.when(apart, F.xxhash64(*left.columns)).otherwise(F.lit(0).cast("long")))
+    cold = right.select(*[F.col(c).alias(f"_cold_{c}") for c in right.columns], F.lit(0).cast("long").alias("_none"), F.lit(True).alias("_found"))
+    same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_cold_{k}") for k in keys], F.col("_spread") == F.col("_none"))
+    out = marked.join(cold, same, "left")
+    if how == "inner":
+        out = out.where(F.coalesce(F.when(F.col("_hot"), F.col("_hot_found")).otherwise(F.col("_found")), F.lit(False)))
+    return out.select(*left.columns, *[F.when(F.col("_hot"), F.col(f"_hot_{c}")).otherwise(F.col(f"_cold_{c}")).alias(c) for c in more])
