@@ -2,42 +2,112 @@
 
 from __future__ import annotations
 
-import numpy as np
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkspark.operators.geometry import _array, iou
+from inkspark.operators.geometry import area, bounds, intersection_udf, iou_udf
 
 #: Defaults of the evaluation.
 PARAMETERS = {"IOU_CONSTRAINT": 0.5, "AREA_PRECISION_CONSTRAINT": 0.5, "CONFIDENCES": False, "PER_SAMPLE_RESULTS": True, "CRLF": False, "LTRB": False}
 DONT_CARE = "###"
 
 
-def match(gt: DataFrame, det: DataFrame, image: str = "image", least: float = 0.5, best_first: bool = False) -> DataFrame:
+def box_pairs(gt: DataFrame, det: DataFrame, image: str = "image", cell: float = 512.0) -> DataFrame:
+    """Pairs (image, gt_id, det_id, gt_points, det_points) of an image's boxes whose bounds overlap.
+
+    Boxes are joined on the cells of a grid that their bounds meet; a pair counts in the first cell that both meet.
+    """
+
+    def spread(rows: DataFrame, name: str) -> DataFrame:
+        rows = rows.select(image, F.col("id").alias(f"{name}_id"), F.col("points").alias(f"{name}_points"), bounds(F.col("points")).alias(name))
+        first = lambda axis: F.floor(F.col(f"{name}.{axis}") / cell)
+        last = lambda axis, size: F.floor((F.col(f"{name}.{axis}") + F.col(f"{name}.{size}")) / cell)
+        rows = rows.withColumn("column", F.explode(F.sequence(first("x"), last("x", "width"))))
+        return rows.withColumn("line", F.explode(F.sequence(first("y"), last("y", "height"))))
+
+    g, d = F.col("gt"), F.col("det")
+    over = lambda axis, size: (g[axis] <= d[axis] + d[size]) & (d[axis] <= g[axis] + g[size])
+    pairs = spread(gt, "gt").join(spread(det, "det"), [image, "column", "line"]).where(over("x", "width") & over("y", "height"))
+    here = (F.col("column") == F.floor(F.greatest(g["x"], d["x"]) / cell)) & (F.col("line") == F.floor(F.greatest(g["y"], d["y"]) / cell))
+    return pairs.where(here).select(image, "gt_id", "det_id", "gt_points", "det_points")
+
+
+def overlapping(gt: DataFrame, det: DataFrame, image: str = "image", least: float = 0.5) -> DataFrame:
+    """Pairs (image, gt_id, det_id, iou) above `least`."""
+    pairs = box_pairs(gt, det, image).withColumn("iou", iou_udf("gt_points", "det_points"))
+    return pairs.where(F.col("iou") > least).select(image, "gt_id", "det_id", "iou")
+
+
+def not_cared_for(gt: DataFrame, det: DataFrame, image: str = "image", least: float = PARAMETERS["AREA_PRECISION_CONSTRAINT"]) -> DataFrame:
+    """(image, id) of detections of which more than the share `least` lies in one ground truth that isn't cared for."""
+    pairs = box_pairs(gt.where(~F.col("care")), det, image)
+    share = F.try_divide(intersection_udf("gt_points", "det_points"), area(F.col("det_points")))
+    return pairs.where(share > least).select(image, F.col("det_id").alias("id")).distinct()
+
+
+def match(gt: DataFrame, det: DataFrame, image: str = "image", least: float = PARAMETERS["IOU_CONSTRAINT"], best_first: bool = False) -> DataFrame:
     """One-to-one matches (image, gt_id, det_id, iou) of rows (image, id, points, care), greedy within an image.
 
     In ground-truth order each takes the first free detection above `least`; with best_first, the highest overlaps are taken
-    first. An image's boxes are one group, as the order decides; images are spread.
+    first (to nine digits; equal ones by ids). An image's pairs above `least` are one group, as the order decides; images are spread.
     """
-    rows = gt.select(image, F.lit(0).alias("side"), "id", "points", "care").unionByName(det.select(image, F.lit(1).alias("side"), "id", "points", "care"))
+    pairs = overlapping(gt.where("care"), det.where("care"), image, least)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        g, d = (pdf[(pdf["side"] == s) & pdf["care"]].sort_values("id") for s in (0, 1))
-        table = np.array([[iou(_array(a), _array(b)) for b in d["points"]] for a in g["points"]]).reshape(len(g), len(d))
-        order = np.argwhere(table > least)
-        if best_first and len(order):
-            order = order[np.argsort(-table[order[:, 0], order[:, 1]], kind="stable")]
-        free_g, free_d, out = set(range(len(g))), set(range(len(d))), []
-        for i, j in order.tolist():
-            if i in free_g and j in free_d:
-                free_g.remove(i)
-                free_d.remove(j)
-                out.append((pdf[image].iloc[0], g["id"].iloc[i], d["id"].iloc[j], table[i, j]))
-        return pd.DataFrame(out, columns=[image, "gt_id", "det_id", "iou"])
-
-    kinds = {c: rows.schema[c].dataType.simpleString() for c in (image, "id")}
-    return rows.groupBy(image).applyInPandas(run, f"{image} {kinds[image]}, gt_id {kinds['id']}, det_id {kinds['id']}, iou double")
+        if best_first:
+            pdf = pdf.assign(order=-pdf["iou"].round(9)).sort_values(["order", "gt_id", "det_id"])
+        else:
+            pdf = pdf.sort_values(["gt_id", "det_id"])
+        taken_g, taken_d, rows = set(), set(), []
+        for i, (g, d) in enumerate(zip(pdf["gt_id"].tolist(), pdf["det_id"].tolist(), strict=True)):
+            if g not in taken_g and d not in taken_d:
+                taken_g.add(g)
+                taken_d.add(d)
+                rows.append(i)
+        return pdf.iloc[rows][[image, "gt_id", "det_id", "iou"]]
+
+    return pairs.groupBy(image).applyInPandas(run, pairs.schema)
+
+
+def evaluation(gt: DataFrame, det: DataFrame, image: str = "image", iou_above: float = PARAMETERS["IOU_CONSTRAINT"], area_above: float = PARAMETERS["AREA_PRECISION_CONSTRAINT"], best_first: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Results for each image of the ground truth and for all, of gt (image, id, points, care) and det (image, id, points, confidence).
+
+    Detections within ground truth that isn't cared for are left out, the others matched. Images without detections count
+    with none; detections of images without ground truth don't count. An image where nothing is cared for has its precision as ap.
+    """
+    images = gt.groupBy(image).agg(F.count_if("care").alias("care_gt"))
+    det = det.join(images.select(image), image, "left_semi")
+    det = det.join(not_cared_for(gt, det, image, area_above), [image, "id"], "left_anti").withColumn("care", F.lit(True))
+    pairs = match(gt, det, image, iou_above, best_first).select(image, F.col("det_id").alias("id"), F.lit(True).alias("hit"))
+    found = det.join(pairs, [image, "id"], "left").select(image, "id", "confidence", F.coalesce("hit", F.lit(False)).alias("hit"))
+    found = found.withColumn("_rank_in", F.row_number().over(Window.partitionBy(image).orderBy(F.desc("confidence"), "id")))
+    hits = F.count_if("hit").over(Window.partitionBy(image).orderBy(F.desc("confidence"), "id").rowsBetween(Window.unboundedPreceding, 0))
+    found = found.withColumn("_at", F.when(F.col("hit"), hits / F.col("_rank_in")).otherwise(0.0))
+    sums = found.groupBy(image).agg(F.count(F.lit(1)).alias("care_det"), F.count_if("hit").alias("matched"), F.sum("_at").alias("_ap"))
+    counts = images.join(sums, image, "left").fillna(0, ["care_det", "matched", "_ap"])
+    samples = per_sample(counts).withColumn("ap", F.when(F.col("care_gt") == 0, F.col("precision")).otherwise(F.col("_ap") / F.col("care_gt"))).drop("_ap")
+    total = method_level(counts)
+    ap = overall_precision(found, total.select("care_gt"), image)
+    return samples, total.crossJoin(F.broadcast(ap))  # one row each
+
+
+def overall_precision(found: DataFrame, care_gt: DataFrame, image: str = "image", parts: int = 4096) -> DataFrame:
+    """`ap` of all detections (image, id, confidence from 0 to 1, hit) by falling confidence, ties by image and id.
+
+    Detections are ranked within `parts` ranges of the confidence; only the ranges' counts are added up in one place.
+    """
+    rows = found.select(image, "id", "confidence", "hit", F.floor(F.col("confidence") * parts).alias("_part"))
+    held = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.count_if("hit").alias("_h"))
+    before = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"), F.coalesce(F.sum("_h").over(before), F.lit(0)).alias("_h"))
+    own = Window.partitionBy("_part").orderBy(F.desc("confidence"), image, "id")
+    hits = F.count_if("hit").over(own.rowsBetween(Window.unboundedPreceding, 0))
+    ranked = rows.select("_part", "hit", F.row_number().over(own).alias("_rank"), hits.alias("_hits")).join(F.broadcast(held), "_part")
+    summed = ranked.where("hit").agg(F.coalesce(F.sum((F.col("_hits") + F.col("_h")) / (F.col("_rank") + F.col("_n"))), F.lit(0.0)).alias("_s"))
+    return summed.crossJoin(F.broadcast(care_gt)).select(F.when(F.col("care_gt") > 0, F.col("_s") / F.col("care_gt")).otherwise(F.lit(0.0)).alias("ap"))
 
 
 def ratios(matched: Column, care_gt: Column, care_det: Column) -> dict[str, Column]:
@@ -68,39 +138,122 @@ def average_precision(rows: DataFrame, confidence: str, matched: str, tie: str,
     return ranked.groupBy(*keys).agg(F.sum(F.when(hit == 1, F.col("_correct") / F.col("_rank")).otherwise(0.0)).alias("_s"), care_gt.alias("care_gt")).select(*keys, F.when(F.col("care_gt") > 0, F.col("_s") / F.col("care_gt")).otherwise(F.col("_s")).alias("ap"))
 
 
-#: The grammars of a result line, by form and optional confidence and transcription.
-_NUM, _CONF = r"\s*(-?[0-9]+)\s*", r"\s*([0-1]?\.?[0-9]+)\s*"
+#: The parts of a result line. A confidence may look like a number and be none, even hold the next comma.
+_INT, _POSITIVE, _CONFIDENCE, _TEXT = r"\s*-?[0-9]+\s*", r"\s*[0-9]+\s*", r"\s*([0-1].?[0-9]*)\s*", r"(.*)"
 
 
 def line_pattern(ltrb: bool, transcription: bool, confidence: bool) -> str:
-    head = ",".join([_NUM] * (4 if ltrb else 8))
-    return "^" + head + (f",{_CONF}" if confidence else "") + (",(.*)$" if transcription else r",?\s*$")
+    """What a line looks like: four numbers, the last two without a sign, or eight; then the confidence and the text."""
+    parts = [_INT, _INT, _POSITIVE, _POSITIVE] if ltrb else [_INT] * 8
+    parts += [_CONFIDENCE] * confidence + [_TEXT] * transcription
+    end = r",?\s*" if ltrb and len(parts) == 4 else ""
+    return "(?dU)^" + ",".join(parts) + end + "$"
+
 
+def _clockwise_error(x: list[Column]) -> Column:
+    n = len(x)
+    turn = sum(((x[(i + 2) % n] - x[i]) * (x[(i + 3) % n] + x[i + 1]) for i in range(0, n, 2)), F.lit(0.0))
+    return F.when(turn > 0, "Points are not clockwise")
 
-def parse_lines(rows: DataFrame, line: str = "line", ltrb: bool = False, transcription: bool = True, confidence: bool = False) -> DataFrame:
-    """points, confidence, transcription and error of each line; a bad line has an error and no values."""
-    pattern = line_pattern(ltrb, transcription, confidence)
+
+def parse_lines(rows: DataFrame, line: str = "line", ltrb: bool = False, transcription: bool = True, confidence: bool = False, width: int = 0, height: int = 0) -> DataFrame:
+    """points, confidence, transcription and error of each line; a bad line has an error and no values.
+
+    With width and height, points outside of the image are an error too.
+    """
     n = 4 if ltrb else 8
     col = F.col(line)
-    fits = col.rlike(pattern)
-    points = F.array(*[F.regexp_extract(col, pattern, i + 1).try_cast("double") for i in range(n)])
-    text = F.regexp_extract(col, pattern, n + 1 + confidence) if transcription else F.lit(None).cast("string")
-    quoted = text.rlike(r'^\s*".*"\s*$')
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_extract(text, r'^\s*"(.*)"\s*$', 1), r"\\\\", r"\\"), r'\\"', '"')
-    text = F.when(quoted, bare).otherwise(text) if transcription else text
-    x = [points[i] for i in range(n)]
+    fits = col.rlike(line_pattern(ltrb, transcription, confidence))
+    rows = rows.withColumn("_parts", F.when(fits, F.split(col, ",", n + 1)))
+    group = lambda i: F.regexp_extract(col, line_pattern(ltrb, transcription, confidence), i)
+    x = [F.regexp_extract(F.get("_parts", F.lit(i)), "-?[0-9]+", 0).try_cast("double") for i in range(n)]
+    rows = rows.withColumn("points", F.when(F.col("_parts").isNotNull(), F.array(*x)))
+    x = [F.get("points", F.lit(i)) for i in range(n)]
     if ltrb:
         wrong = F.when(x[2] < x[0], "Xmax lower than Xmin").when(x[3] < x[1], "Ymax lower than Ymin")
     else:
-        turn = sum(((x[(i + 2) % 8] - x[i]) * (x[(i + 3) % 8] + x[i + 1]) for i in range(0, 8, 2)), F.lit(0.0))
-        wrong = F.when(turn > 0, "Points are not clockwise")
-    out = rows.withColumn("error", F.when(~fits, "Format incorrect").otherwise(wrong))
+        wrong = _clockwise_error(x)
+    if width > 0 and height > 0:
+        inside = [v.between(0, top) for v, top in zip(x, [width, height] * (n // 2), strict=True)]
+        wrong = F.coalesce(wrong, F.when(~reduce(lambda a, b: a & b, inside), "Point outside of the image"))
+    number = F.regexp_replace(group(1), r"(?U)^\s+|\s+$", "") if confidence else F.lit("")
+    number = F.when(number.rlike(r"^[01](?:_?[0-9]+|\.[0-9]*|[eE][0-9]+)?$"), F.replace(number, F.lit("_"), F.lit("")).try_cast("double"))
+    if confidence:
+        wrong = F.coalesce(wrong, F.when(number.isNull(), "Confidence is no number"))
+    text = group(1 + confidence) if transcription else F.lit("")
+    quoted = r'(?dU)^\s*"(.*)"\s*$'
+    bare = F.replace(F.replace(F.regexp_extract(text, quoted, 1), F.lit("\\\\"), F.lit("\\")), F.lit('\\"'), F.lit('"'))
+    out = rows.withColumn("error", F.when(F.col("_parts").isNull(), "Format incorrect").otherwise(wrong))
     good = F.col("error").isNull()
     return out.withColumns({
-        "points": F.when(good, points),
-        "confidence": F.when(good, F.regexp_extract(col, pattern, n + 1).try_cast("double")) if confidence else F.lit(None).cast("double"),
-        "transcription": F.when(good, text),
-    })
+        "points": F.when(good, F.col("points")),
+        "confidence": F.when(good, number) if confidence else F.lit(None).cast("double"),
+        "transcription": F.when(good, F.when(text.rlike(quoted), bare).otherwise(text)) if transcription else F.lit(None).cast("string"),
+    }).drop("_parts")
+
+
+def file_lines(files: DataFrame, name: str = "name", content: str = "content", crlf: bool = False) -> DataFrame:
+    """(name, line_no, line) of files' lines that aren't empty; bytes that are no UTF-8 are replaced, a mark at the beginning goes."""
+    text = F.regexp_replace(F.make_valid_utf8(F.col(content).cast("string")), "^\ufeff", "")
+    lines = files.select(name, F.posexplode(F.split(text, "\r\n" if crlf else "\n")).alias("line_no", "line"))
+    return lines.withColumn("line", F.regexp_replace("line", "[\r\n]", "")).where("line <> ''")
+
+
+def invalid_lines(files: DataFrame, name: str = "name", content: str = "content", crlf: bool = False, **form) -> DataFrame:
+    """(name, line_no, message) of the lines of files that aren't valid in the form that `parse_lines` takes."""
+    rows = parse_lines(file_lines(files, name, content, crlf), **form).where("error is not null")
+    message = F.format_string("Line in sample not valid. Sample: %s Line: %s Error: %s", F.col(name), F.col("line"), F.col("error"))
+    return rows.select(name, "line_no", message.alias("message"))
+
+
+def by_confidence(rows: DataFrame, *keys: str, order: str = "line_no") -> DataFrame:
+    """Rows with `position`, from 0 within the keys, by falling confidence, ties in order."""
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("confidence"), order)) - 1)
+
+
+_DICT = "points array<array<double>>, transcription string, confidence double, illegibility boolean, dontCare boolean"
+
+
+def parse_dicts(rows: DataFrame, text: str = "value", transcription: bool = False, confidence: bool = False) -> DataFrame:
+    """points (x and y in turn), confidence, transcription and error of detections written as JSON objects.
+
+    Texts marked illegible or not cared for read `###`; a bad object has an error and no values.
+    """
+    rows = rows.withColumn("_d", F.from_json(F.col(text), _DICT))
+    points = F.col("_d.points")
+    number = F.col("_d.confidence")
+    bad = (
+        F.when(points.isNull(), "No points")
+        .when(F.size(points) < 3, "Fewer than 3 points")
+        .when(F.exists(points, lambda p: p.isNull() | (F.size(p) != 2) | F.exists(p, lambda v: v.isNull())), "A point isn't two numbers")
+        .when(_turn(points) > 0, "Points are not clockwise")
+    )
+    if confidence:
+        bad = bad.when(number.isNull(), "No confidence").when(~number.between(0, 1), "Confidence not from 0 to 1")
+    if transcription:
+        bad = bad.when(F.col("_d.transcription").isNull(), "No transcription")
+    hidden = F.coalesce("_d.illegibility", F.lit(False)) | F.coalesce("_d.dontCare", F.lit(False))
+    rows = rows.withColumn("error", bad)
+    good = F.col("error").isNull()
+    return rows.withColumns({
+        "points": F.when(good, F.flatten(points)),
+        "confidence": F.when(good, number) if confidence else F.lit(None).cast("double"),
+        "transcription": F.when(good, F.when(hidden, DONT_CARE).otherwise(F.col("_d.transcription"))) if transcription else F.lit(None).cast("string"),
+    }).drop("_d")
+
+
+def _turn(points: Column) -> Column:
+    """The sign by which whole coordinates run, positive against the clock."""
+    at = lambda p, i: F.signum(F.get(p, F.lit(i))) * F.floor(F.abs(F.get(p, F.lit(i))))
+    following = F.concat(F.slice(points, F.lit(2), F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 1, 1))
+    return F.aggregate(F.zip_with(points, following, lambda p, q: (at(q, 0) - at(p, 0)) * (at(q, 1) + at(p, 1))), F.lit(0.0), lambda a, v: a + v)
+
+
+def quad_points(points: Column, ltrb: bool = False) -> Column:
+    """Corner structs of a parsed line's numbers."""
+    x = lambda i: F.get(points, F.lit(i))
+    pairs = [(0, 1), (2, 1), (2, 3), (0, 3)] if ltrb else [(0, 1), (2, 3), (4, 5), (6, 7)]
+    return F.array(*[F.struct(x(i).alias("x"), x(j).alias("y")) for i, j in pairs])
 
 
 def image_number(name: Column) -> Column:

@@ -32,7 +32,7 @@ def clamp(points: Column, height: Column, width: Column) -> Column:
 
 
 def _edges(points: Column, term) -> Column:
-    following = F.concat(F.slice(points, 2, 1_000_000), F.slice(points, 1, 1))
+    following = F.concat(F.slice(points, F.lit(2), F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 1, 1))
     return F.aggregate(F.zip_with(points, following, term), F.lit(0.0), lambda a, b: a + b)
 
 
@@ -137,30 +137,23 @@ def hull(points: np.ndarray) -> np.ndarray | None:
 
 
 def rectangle_of(corners: np.ndarray) -> dict[str, float]:
-    """x, y, height, width and angle of four corners in ring order; the upper long side is the top."""
-    sides = np.roll(corners, -1, 0) - corners
-    length = np.hypot(*sides.T)
-    long_ = 1 if length[1] >= length[0] else 0
-    width, height = length[long_], length[1 - long_]
-    mid = [(corners[i, 1] + corners[(i + 1) % 4, 1]) / 2 for i in (long_, long_ + 2)]
-    top = long_ if mid[0] < mid[1] else long_ + 2
-    left, right = sorted((corners[top], corners[(top + 1) % 4]), key=lambda p: p[0])
-    if abs(height - width) < 1e-6:
-        left = corners[np.argmin((corners**2).sum(1))]
-        beside = [c for c in corners if abs(np.hypot(*(c - left)) - width) < 1e-3 and (c != left).any()]
-        if beside:
-            right = beside[0]
-            for c in beside[1:]:
-                if c[0] > right[0] or abs(c[0] - right[0]) < 1e-3 and c[1] < right[1]:
-                    right = c
-        else:
-            right = left + (right - left)
-    angle = math.atan2(right[1] - left[1], right[0] - left[0])
-    if abs(angle - math.pi / 2) < 1e-5:
-        left = np.array([corners[:, 0].max(), corners[:, 1].min()])
-    elif abs(angle + math.pi / 2) < 1e-5:
-        left = np.array([corners[:, 0].min(), corners[:, 1].max()])
-    return {"x": float(left[0]), "y": float(left[1]), "height": float(height), "width": float(width), "angle": angle}
+    """x, y, height, width and angle of four corners in ring order.
+
+    With the ring turned so that each corner's next side lies clockwise of it (y points down), every corner can be the top left
+    one of the same rectangle. Of the two long sides the upper begins there, of upright ones that which points down; of a
+    square, the corner next to the origin does, then the upper, then the left one.
+    """
+    ring = corners if _signed(corners) >= 0 else corners[::-1]
+    side = np.roll(ring, -1, 0) - ring
+    length = np.hypot(side[:, 0], side[:, 1])
+    gap = length[0] + length[2] - length[1] - length[3]
+    if abs(gap) < 2e-6:
+        keys = (ring[:, 0], ring[:, 1], np.round((ring**2).sum(1), 6))
+    else:
+        short = np.arange(4) % 2 == (gap > 0)
+        keys = (-side[:, 1], np.round(2 * ring[:, 1] + side[:, 1], 6), short)
+    i = int(np.lexsort(keys)[0])
+    return {"x": float(ring[i, 0]), "y": float(ring[i, 1]), "height": float(length[(i + 1) % 4]), "width": float(length[i]), "angle": math.atan2(side[i, 1], side[i, 0])}
 
 
 def min_area_rectangle(ring: np.ndarray) -> dict[str, float] | None:
@@ -302,7 +295,12 @@ def min_rect_udf(points: pd.Series) -> pd.DataFrame:
 
 @F.pandas_udf(T.DoubleType())
 def iou_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([iou(_array(p), _array(q)) for p, q in zip(a, b, strict=True)])
+    return pd.Series([iou(_array(p), _array(q)) for p, q in zip(a, b, strict=True)], dtype=float)
+
+
+@F.pandas_udf(T.DoubleType())
+def intersection_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([clip_area(_array(p), _array(q)) for p, q in zip(a, b, strict=True)], dtype=float)
 
 
 @F.pandas_udf(_POINT_LIST)

@@ -87,6 +87,100 @@ def test_overlap_and_dilation():
     assert len(geometry.simplify(np.array([(0, 0), (5, 0.5), (10, 0), (10, 10)], float), 4)) == 3
 
 
+@pytest.mark.parametrize("x", [(10, 20, 50, 30, 0.0), (3, 4, 20, 20, 0.0), (5, 5, 30, 10, math.pi / 2), (5, 5, 30, 10, -math.pi / 2), (50, 40, 8, 8, math.pi / 4), (1, 2, 30, 12, 2.5), (0, 0, 9, 3, math.pi), (7, 7, 12, 12, math.pi / 2)])
+def test_rectangles_of_corners(x):
+    def corners(r):
+        c, s = math.cos(r["angle"]), math.sin(r["angle"])
+        return [(r["x"] + a * r["width"] * c - b * r["height"] * s, r["y"] + a * r["width"] * s + b * r["height"] * c) for a, b in ((0, 0), (1, 0), (1, 1), (0, 1))]
+
+    given = np.array(corners(dict(zip(("x", "y", "width", "height", "angle"), x, strict=True))))
+    for ring in (given, given[::-1]):
+        for k in range(4):
+            r = geometry.rectangle_of(np.roll(ring, k, 0))
+            made = corners(r)
+            assert all(min(math.dist(p, q) for q in made) < 1e-6 for p in given.tolist())
+            assert r["width"] >= r["height"] - 1e-6 and abs(r["angle"]) <= math.pi / 2 + 1e-6
+            assert all(geometry.rectangle_of(np.roll(given, j, 0)) == pytest.approx(r) for j in range(4))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.floats(-100, 100), st.floats(-100, 100), st.floats(0.5, 60), st.floats(0.5, 60), st.floats(-3.2, 3.2))
+def test_any_rectangle_is_found_again(x, y, w, h, angle):
+    c, s = math.cos(angle), math.sin(angle)
+    given = np.array([(x, y), (x + w * c, y + w * s), (x + w * c - h * s, y + w * s + h * c), (x - h * s, y + h * c)])
+    r = geometry.rectangle_of(given)
+    c, s = math.cos(r["angle"]), math.sin(r["angle"])
+    made = [(r["x"] + a * r["width"] * c - b * r["height"] * s, r["y"] + a * r["width"] * s + b * r["height"] * c) for a, b in ((0, 0), (1, 0), (1, 1), (0, 1))]
+    assert all(min(math.dist(p, q) for q in made) < 1e-5 for p in given.tolist())
+
+
+def test_line_forms(spark):
+    good = {
+        (True, False, False): ["1,2,3,4", " -1 , 2,3,4, ", "1,2,3,4,"],
+        (True, False, True): ["1,2,3,4,0.5", "1,2,3,4,1.", "1,2,3,4, 0 "],
+        (True, True, False): ["1,2,3,4,", '1,2,3,4, "a, b" '],
+        (True, True, True): ["1,2,3,4,1,a,b"],
+        (False, False, False): ["0,0,9,0,9,9,0,9"],
+        (False, False, True): ["0,0,9,0,9,9,0,9,0.25"],
+        (False, True, False): ["0,0,9,0,9,9,0,9,###"],
+        (False, True, True): ["0,0,9,0,9,9,0,9,1,x"],
+    }
+    bad = {
+        (True, False, False): ["1,2,-3,4", "1,2,3", "a,2,3,4", "1,2,3,4,,", "5,2,3,4", "1,5,3,4"],
+        (True, False, True): ["1,2,3,4,99", "1,2,3,4,5", "1,2,3,4,.5", "1,2,3,4", "1,2,3,4,1x", "1,2,3,4,1,"],
+        (True, True, False): ["1,2,3,4"],
+        (True, True, True): ["1,2,3,4,x,a", "1,2,3,4,1,,a", "1,2,3,4,1,5,a"],
+        (False, False, False): ["0,0,9,0,9,9,0,9,", "0,0,0,9,9,9,9,0"],
+        (False, False, True): ["0,0,9,0,9,9,0,9,2"],
+        (False, True, False): ["0,0,9,0,9,9,0,9"],
+        (False, True, True): ["0,0,9,0,9,9,0,9,x"],
+    }
+    for form, lines in good.items():
+        rows = evaluate.parse_lines(spark.createDataFrame([(x,) for x in lines + bad[form]], "line string"), ltrb=form[0], transcription=form[1], confidence=form[2])
+        for i, r in enumerate(rows.collect()):
+            assert (r["error"] is None) == (i < len(lines)) == (r["points"] is not None), r
+    quoted = spark.createDataFrame([('1,2,3,4,"a \\\\ \\" b"',)], "line string")
+    assert evaluate.parse_lines(quoted, ltrb=True).first()["transcription"] == 'a \\ " b'
+    outside = spark.createDataFrame([("1,2,30,4,x",)], "line string")
+    assert evaluate.parse_lines(outside, ltrb=True, width=20, height=20).first()["error"] == "Point outside of the image"
+
+
+def test_files_name_their_bad_lines(spark):
+    files = spark.createDataFrame([("a", bytearray(b"\xef\xbb\xbf1,2,3,4\n\nbad\xff\n")), ("b", bytearray(b"1,2,3,4\r\n")), ("c", bytearray(b""))], "name string, content binary")
+    got = [tuple(r) for r in evaluate.invalid_lines(files, ltrb=True, transcription=False).collect()]
+    assert got == [("a", 2, "Line in sample not valid. Sample: a Line: bad\ufffd Error: Format incorrect")]
+
+
+def test_dict_detections(spark):
+    box = '"points":[[0,0],[9,0],[9,9],[0,9]]'
+    texts = {
+        "{" + box + ',"transcription":"a","confidence":0.5}': None, "{" + box + ',"transcription":"a","confidence":1.5}': "Confidence not from 0 to 1",
+        "{" + box + ',"confidence":0.5}': "No transcription", "{" + box + ',"transcription":"a"}': "No confidence", '{"transcription":"a"}': "No points", "[]": "No points",
+        '{"points":[[0,0],[9,0]],"transcription":"a","confidence":1}': "Fewer than 3 points", '{"points":[[0,0],[9],[9,9]],"transcription":"a","confidence":1}': "A point isn't two numbers",
+        '{"points":[[0,0],[0,9],[9,9],[9,0]],"transcription":"a","confidence":1}': "Points are not clockwise",
+    }
+    rows = evaluate.parse_dicts(spark.createDataFrame([(t,) for t in texts], "value string"), transcription=True, confidence=True)
+    assert {r["value"]: r["error"] for r in rows.collect()} == texts
+
+
+def test_evaluation_of_an_image_without_detections_or_care(spark):
+    pts = lambda q: [{"x": float(x), "y": float(y)} for x, y in q]
+    gt = spark.createDataFrame([(1, 0, pts(square(0, 0, 10)), True), (2, 0, pts(square(0, 0, 10)), True), (3, 0, pts(square(0, 0, 600)), False), (4, 0, pts(square(0, 0, 9)), False)], f"image int, id int, points {geometry.POINTS}, care boolean")
+    det = [(1, 0, pts(square(1, 0, 10)), 0.5), (1, 1, pts(square(500, 500, 30)), 0.9), (3, 0, pts(square(520, 500, 30)), 0.7), (4, 0, pts(square(50, 50, 30)), 0.6), (9, 0, pts(square(0, 0, 30)), 0.6)]
+    samples, total = evaluate.evaluation(gt, spark.createDataFrame(det, f"image int, id int, points {geometry.POINTS}, confidence double"))
+    got = {r["image"]: (r["matched"], r["care_gt"], r["care_det"], r["precision"], r["recall"], r["ap"]) for r in samples.collect()}
+    assert got == {1: (1, 1, 2, 0.5, 1.0, 0.5), 2: (0, 1, 0, 0.0, 0.0, 0.0), 3: (0, 0, 0, 1.0, 1.0, 1.0), 4: (0, 0, 1, 0.0, 1.0, 0.0)}
+    (all_,) = total.collect()
+    assert (all_["matched"], all_["care_gt"], all_["care_det"]) == (1, 2, 3) and all_["ap"] == pytest.approx(1 / 3 / 2)
+
+
+def test_rings_of_any_length(spark):
+    n = 1_200_000
+    ring = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(F.cos(i * (2 * math.pi / n)).alias("x"), F.sin(i * (2 * math.pi / n)).alias("y"))).alias("p"))
+    r = ring.select(geometry.area(F.col("p")).alias("a"), geometry.perimeter(F.col("p")).alias("l")).first()
+    assert r["a"] == pytest.approx(math.pi) and r["l"] == pytest.approx(2 * math.pi)
+
+
 def test_match_orders(spark):
     pts = lambda q: [{"x": float(x), "y": float(y)} for x, y in q]
     kind = f"image int, id int, points {geometry.POINTS}, care boolean"
