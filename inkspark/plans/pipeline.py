@@ -8,19 +8,21 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from concurrent.futures import Future, ThreadPoolExecutor, TimeoutError
+from concurrent.futures import Future, ThreadPoolExecutor, wait
 from dataclasses import dataclass
 from threading import Semaphore
 import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkspark.operators.geometry import BOX, bounding_box
 from inkspark.operators.relief import trace_all
 from inkspark.operators.tiling import DETECT_MEANS, DETECT_STDS, OVERLAP_SHARE, READ_MEANS, READ_STDS, TILE
+from inkspark.sources.readers import pictures
+from inkspark.sources.sinks import page_of, wire
 
 Kernel = Callable[[np.ndarray, tuple[int, ...]], tuple[np.ndarray, tuple[int, ...]]]
 READ_WIDTH, READ_HEIGHT = 160, 48
@@ -128,8 +130,8 @@ def crop(image: np.ndarray, rect: dict[str, float]) -> np.ndarray:
     return np.rint((image[y0, x0] * (1 - fx) + image[y0, x1] * fx) * (1 - fy) + (image[y1, x0] * (1 - fx) + image[y1, x1] * fx) * fy).astype(np.uint8)
 
 
-def detect(image: np.ndarray, kernel: Kernel, tile: int = TILE) -> list[dict]:
-    """Boxes of all texts of an RGB image."""
+def detector_map(image: np.ndarray, kernel: Kernel, tile: int = TILE) -> tuple[np.ndarray, int, int]:
+    """The largest probability of all tiles over each pixel of the page that the image is fitted to, and the page's size."""
     overlap = round(OVERLAP_SHARE * tile)
     stride = tile - overlap
     across, down = (math.ceil((side - overlap) / stride) for side in (image.shape[1], image.shape[0]))
@@ -143,6 +145,12 @@ def detect(image: np.ndarray, kernel: Kernel, tile: int = TILE) -> list[dict]:
             out, _ = kernel(tensor(page[y : y + tile, x : x + tile], DETECT_MEANS, DETECT_STDS), (1, 3, tile, tile))
             part = merged[y : y + tile, x : x + tile]
             np.maximum(part, np.asarray(out, np.float32).reshape(tile, tile), out=part)
+    return merged, wide, high
+
+
+def detect(image: np.ndarray, kernel: Kernel, tile: int = TILE) -> list[dict]:
+    """Boxes of all texts of an RGB image."""
+    merged, wide, high = detector_map(image, kernel, tile)
     by = min(wide / image.shape[1], high / image.shape[0])
     boxes = (bounding_box(np.array(b, float), by, image.shape[1], image.shape[0]) for b in trace_all(merged))
     return [b for b in boxes if b is not None]
@@ -173,6 +181,8 @@ def run(images: DataFrame, detector: Callable[[], Kernel] = lambda: dark_kernel,
             rows = []
             for seq, w, h, data in zip(pdf["seq"], pdf["width"], pdf["height"], pdf["data"], strict=True):
                 try:
+                    if data is None:
+                        raise ValueError("no image")
                     image = np.frombuffer(data, np.uint8).reshape(int(h), int(w), 3)
                     found = [(b, *read_text(image, b["rotatedRectangle"], read, chars)) for b in detect(image, find)]
                     rows.append((seq, w, h, [{"boundingBox": b, "text": t, "confidence": c} for b, t, c in found], None))
@@ -183,15 +193,41 @@ def run(images: DataFrame, detector: Callable[[], Kernel] = lambda: dark_kernel,
     return images.select("seq", "width", "height", "data").mapInPandas(work, RESULT)
 
 
-def decoded(images: DataFrame) -> DataFrame:
-    """(seq, width, height, data) of images as Spark's image source has them, from BGR to RGB."""
+def probabilities(image: np.ndarray, kernel: Kernel, tile: int = TILE) -> np.ndarray:
+    """The detector's map in the image's size, as bytes: cut to bytes first, resampled then."""
+    merged, wide, high = detector_map(image, kernel, tile)
+    by = min(wide / image.shape[1], high / image.shape[0])
+    own = np.floor(np.clip(merged[: round(image.shape[0] * by), : round(image.shape[1] * by)], 0, 1) * 255)
+    return np.clip(np.rint(resized(own, image.shape[1], image.shape[0])), 0, 255).astype(np.uint8)
+
+
+def json_lines(read: DataFrame, names: DataFrame) -> DataFrame:
+    """(seq, line, error) of what `run` gives, with the file names of names (seq, path); order by seq to print them."""
+    rows = read.join(names.select("seq", "path"), "seq")
+    box = lambda b: F.struct(F.struct(b["polygon"].alias("points")).alias("polygon"), b["rotatedRectangle"].alias("rotatedRectangle"), b["rectangle"].alias("rectangle"))
+    results = F.transform("results", lambda r: F.struct(box(r["boundingBox"]).alias("boundingBox"), r["text"].alias("text"), r["confidence"].alias("confidence")))
+    return rows.select("seq", F.when(F.col("error").isNull(), wire(F.col("path"), results)).alias("line"), "error")
+
 
-    @F.pandas_udf("binary")
-    def rgb(content: pd.Series) -> pd.Series:
-        return content.map(lambda b: np.frombuffer(b, np.uint8).reshape(-1, 3)[:, ::-1].tobytes())
+def read_files(spark: SparkSession, paths: list[str], **kernels) -> DataFrame:
+    """(seq, line, error): the JSON line of each image file, in the order of seq, or why it has none."""
+    found = pictures(spark, paths)
+    return json_lines(run(found, **kernels), found)
 
-    rows = images.select("seq", "image.width", "image.height", "image.nChannels", "image.data").where("nChannels = 3")
-    return rows.select("seq", "width", "height", rgb("data").alias("data"))
+
+def draw_files(found: DataFrame, read: DataFrame, detector: Callable[[], Kernel] = lambda: dark_kernel) -> DataFrame:
+    """(seq, path, svg): the page `<name>_viz.svg` beside each of `pictures`' files that `run` has read."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        find = detector()
+        for pdf in batches:
+            rows = []
+            for seq, path, w, h, data, results in zip(*(pdf[c] for c in ("seq", "path", "width", "height", "data", "results")), strict=True):
+                image = np.frombuffer(data, np.uint8).reshape(int(h), int(w), 3)
+                rows.append((seq, path.rpartition(".")[0] + "_viz.svg", page_of(image, list(results), probabilities(image, find)).render()))
+            yield pd.DataFrame(rows, columns=["seq", "path", "svg"])
+
+    return found.join(read.where("error is null").select("seq", "results"), "seq").mapInPandas(work, "seq long, path string, svg string")
 
 
 class Reader:
@@ -211,16 +247,16 @@ class Reader:
 
     def wait(self, handle: str, seconds: float | None = None) -> tuple[int, str]:
         """(0, result), (1, error) or (2, "") if time ran out; only then the handle stays."""
-        try:
-            out = (0, self.handles[handle].result(seconds))
-        except TimeoutError:
-            return 2, ""
-        except KeyError:
+        future = self.handles.get(handle)
+        if future is None:
             return 1, "unknown handle"
-        except Exception as e:  # noqa: BLE001  the status carries the error
-            out = (1, str(e))
-        del self.handles[handle]
-        return out
+        if not wait([future], seconds).done:
+            return 2, ""
+        self.handles.pop(handle, None)
+        if future.cancelled():
+            return 1, "cancelled"
+        error = future.exception()
+        return (0, future.result()) if error is None else (1, str(error) or type(error).__name__)
 
     def cancel(self, handle: str) -> None:
         """Forget the handle; its work goes on."""

@@ -21,11 +21,49 @@ RESULTS = (
 )
 
 
+def _named(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[str]]:
+    """(seq, path, name, uri) of the paths, the last two with their scheme, and the names of the files that exist, each once."""
+    rows, found = [], {}
+    for i, p in enumerate(paths):
+        where = spark._jvm.org.apache.hadoop.fs.Path(p)
+        fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        full = fs.makeQualified(where)
+        found.setdefault(full.toString(), fs.exists(where))
+        rows.append((i, p, full.toString(), full.toUri().toString()))
+    return spark.createDataFrame(rows, "seq long, path string, name string, uri string"), [n for n, there in found.items() if there]
+
+
+def _scheme(path: Column) -> Column:
+    """file:///a and file:/a are one name."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
 def images(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Encoded images in the order of paths: seq, path, content. A missing file has a null content."""
-    wanted = spark.createDataFrame([(i, p, p.rpartition("/")[2]) for i, p in enumerate(paths)], "seq long, path string, name string")
-    files = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(paths).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
-    return wanted.drop("name").join(files, "path", "left").select("seq", "path", "content")
+    """Encoded images in the order of paths: seq, path, content. A missing file has a null content; a path may come again."""
+    wanted, names = _named(spark, paths)
+    if not names:
+        return wanted.select("seq", "path", F.lit(None).cast("binary").alias("content"))
+    files = spark.read.format("binaryFile").load(names).select(_scheme(F.col("path")).alias("name"), "content")
+    return wanted.withColumn("name", _scheme(F.col("name"))).join(files, "name", "left").select("seq", "path", "content")
+
+
+def pictures(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Decoded images in the order of paths: seq, path, width, height and data (rows of RGB bytes); nulls for what is none."""
+    wanted, names = _named(spark, paths)
+    if not names:
+        return wanted.select("seq", "path", *[F.lit(None).cast(t).alias(c) for c, t in (("width", "int"), ("height", "int"), ("data", "binary"))])
+
+    @F.pandas_udf("binary")
+    def rgb(data: pd.Series, channels: pd.Series) -> pd.Series:
+        out = []
+        for raw, n in zip(data, channels, strict=True):
+            pixels = np.frombuffer(raw, np.uint8).reshape(-1, int(n))
+            out.append((np.repeat(pixels, 3, 1) if n == 1 else pixels[:, 2::-1]).tobytes())  # blue comes first there
+        return pd.Series(out)
+
+    files = spark.read.format("image").option("dropInvalid", "true").load(names).select("image.*")
+    files = files.select(_scheme(F.col("origin")).alias("uri"), "width", "height", rgb("data", "nChannels").alias("data"))
+    return wanted.withColumn("uri", _scheme(F.col("uri"))).join(files, "uri", "left").select("seq", "path", "width", "height", "data")
 
 
 def submitted(spark: SparkSession, contents: Iterable[bytes]) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import base64
 import html
 import json
+import math
 import os
+import struct
 import zipfile
+import zlib
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,6 +70,30 @@ def evaluated(evaluate, *args) -> dict:
         return {"calculated": False, "Message": str(e)}
 
 
+def png(pixels: np.ndarray) -> bytes:
+    """A PNG file of rows of RGB or RGBA bytes."""
+    height, width, channels = pixels.shape
+
+    def chunk(kind: bytes, content: bytes) -> bytes:
+        return struct.pack(">I", len(content)) + kind + content + struct.pack(">I", zlib.crc32(kind + content))
+
+    rows = np.concatenate([np.zeros((height, 1), np.uint8), pixels.astype(np.uint8).reshape(height, -1)], 1)  # no filter
+    head = struct.pack(">IIBBBBB", width, height, 8, {3: 2, 4: 6}[channels], 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
+
+
+def data_uri(pixels: np.ndarray) -> str:
+    return "data:image/png;base64," + base64.b64encode(png(pixels)).decode()
+
+
+def overlay(intensity: np.ndarray) -> np.ndarray:
+    """Yellow, half as opaque as the intensity (bytes) says."""
+    out = np.full((*intensity.shape, 4), 255, np.uint8)
+    out[..., 2] = 0
+    out[..., 3] = intensity // 2
+    return out
+
+
 LAYERS = ("image", "probabilityMap", "polygons", "rotatedRectangles", "rectangles", "expected", "text")
 
 
@@ -94,3 +123,27 @@ class Page:
         state = json.dumps({name: name in self.layers or name == "text" and bool(self.texts) for name in LAYERS})
         groups = "".join(f'<g id="{n}">{m}</g>' for n, m in self.layers.items()) + f'<g id="text">{"".join(self.texts)}</g>'
         return f'<svg xmlns="http://www.w3.org/2000/svg" width="{self.width}" height="{self.height}"><desc>{html.escape(state)}</desc>{groups}</svg>'
+
+    def picture(self, layer: str, pixels: np.ndarray) -> Page:
+        return self.add(layer, f'<image width="{self.width}" height="{self.height}" href="{data_uri(pixels)}"/>')
+
+
+def page_of(pixels: np.ndarray, results: list[dict], probabilities: np.ndarray | None = None) -> Page:
+    """The page of an image (RGB bytes) with its results' boxes and texts, and a map of probabilities (bytes) over it."""
+    page = Page(pixels.shape[1], pixels.shape[0]).picture("image", pixels)
+    if probabilities is not None:
+        page.picture("probabilityMap", overlay(probabilities))
+    boxes = [r["boundingBox"] for r in results]
+    page.polygons("polygons", [[(p["x"], p["y"]) for p in b["polygon"]] for b in boxes], "blue")
+    turned = [_corners(b["rotatedRectangle"]) for b in boxes]
+    page.polygons("rotatedRectangles", turned, "red").polygons("rectangles", [_corners({**b["rectangle"], "angle": 0.0}) for b in boxes], "green")
+    for r, ring in zip(results, turned, strict=True):
+        (ax, ay), (bx, by), _, (dx, dy) = ring
+        cx, cy = (sum(v) / 4 for v in zip(*ring, strict=True))
+        page.text(cx, cy, math.degrees(math.atan2(by - ay, bx - ax)), math.hypot(dx - ax, dy - ay), r["text"])
+    return page
+
+
+def _corners(r: dict) -> list[tuple[float, float]]:
+    c, s = math.cos(r["angle"]), math.sin(r["angle"])
+    return [(r["x"] + a * r["width"] * c - b * r["height"] * s, r["y"] + a * r["width"] * s + b * r["height"] * c) for a, b in ((0, 0), (1, 0), (1, 1), (0, 1))]
