@@ -29,6 +29,7 @@ HELD = 400_000
 #: Characters that are neither letters, numbers nor white space, and no apostrophe.
 MARKS = ".,;:!?|*%#&$"
 _PLAIN = re.compile(r"[ \n!-~À-ɏ]*")
+_WORD = re.compile(r" ?[!-~À-ɏ]+")
 _SAFE = re.compile(r"(?<=[!-~À-ɏ])(?= [!-~À-ɏ])")
 
 
@@ -45,6 +46,8 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.drops_space = "Replace" in str(self.tokenizer.normalizer)
         self.known: dict[str, bytes] = {}
+        ends = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line_end = ends[0] if len(ends) == 1 and not self.drops_space else None
 
     def pieces(self, text: str) -> list[str]:
         if any(s in text for s in self.special):
@@ -57,11 +60,29 @@ class Encoder:
         return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
 
     def _encode(self, pieces: list[str], into: dict[str, bytes]) -> None:
+        if self.line_end is not None:
+            pieces = self._encode_words(pieces, into)
         for at in range(0, len(pieces), 20_000):
             some = pieces[at : at + 20_000]
             made = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
             into.update(zip(some, [array("I", e.ids).tobytes() for e in made], strict=True))
 
+    def _encode_words(self, pieces: list[str], into: dict[str, bytes]) -> list[str]:
+        """Encode the pieces that are words in lines of 64, which the library always parts at their ends; gives the others back."""
+        words = list(filter(_WORD.fullmatch, pieces))
+        for at in range(0, len(words), 64 * 300):
+            lines = [words[i : i + 64] for i in range(at, min(at + 64 * 300, len(words)), 64)]
+            for line, made in zip(lines, self.tokenizer.encode_batch_fast(["\n".join(x) for x in lines], add_special_tokens=False), strict=True):
+                ids = array("I", made.ids)
+                parts, first = [], 0
+                for _ in line[1:]:
+                    last = ids.index(self.line_end, first)
+                    parts.append(ids[first:last].tobytes())
+                    first = last + 1
+                parts.append(ids[first:].tobytes())
+                into.update(zip(line, parts, strict=True))
+        return pieces if not words else [x for x in pieces if x not in into]
+
     def _new(self, missing: set[str]) -> dict[str, bytes]:
         """The ids of pieces not held, put together from their parts where these are known or shared."""
         known, lower = self.known, self.drops_space
