@@ -27,19 +27,15 @@ def decode(steps: Column, all_chars: bool = False) -> Column:
     best = F.transform(steps, lambda s: F.struct(index_of_max(s).alias("c"), F.array_max(s).cast("double").alias("p")))
 
     def runs(found: Column) -> Column:
-        # fold the steps into runs: class and largest probability
-        start = F.array().cast("array<struct<c:int,p:double>>")
-        return F.aggregate(
-            found,
-            start,
-            lambda acc, x: F.when(
-                (F.size(acc) > 0) & (F.element_at(acc, -1)["c"] == x["c"]),
-                F.concat(
-                    F.slice(acc, F.lit(1), F.size(acc) - 1),
-                    F.array(F.struct(x["c"].alias("c"), F.greatest(F.element_at(acc, -1)["p"], x["p"]).alias("p"))),
-                ),
-            ).otherwise(F.concat(acc, F.array(x))),
-        )
+        """Class and largest probability of each run of equal classes, from the places where runs begin."""
+        places = F.transform(found, lambda x, i: F.when((i == 0) | (x["c"] != F.get(found, i - 1)["c"]), i))
+
+        def cut(starts: Column) -> Column:
+            end = lambda k: F.coalesce(F.get(starts, k + 1), F.size(found))
+            own = lambda s, k: F.slice(found, s + 1, end(k) - s)
+            return F.transform(starts, lambda s, k: F.struct(F.get(found, s)["c"].alias("c"), F.array_max(F.transform(own(s, k), lambda x: x["p"])).alias("p")))
+
+        return bind(F.filter(places, lambda i: i.isNotNull()), cut)
 
     def result(run: Column) -> Column:
         marked = F.transform(run, lambda r, i: F.struct(r["c"].alias("c"), r["p"].alias("p"), (F.get(run, i + 1)["c"] != 0).alias("followed")))

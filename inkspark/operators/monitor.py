@@ -28,16 +28,16 @@ def bucket_counts(rows: DataFrame, bounds: list[float], *keys: str) -> DataFrame
     return wide.select(*keys, F.inline(les))
 
 
-def histogram_quantile(counts: DataFrame, q: float, *keys: str) -> DataFrame:
-    """Quantile of cumulative bucket counts, linear within a bucket; the last finite bound if it lies beyond."""
+def histogram_quantiles(counts: DataFrame, qs: list[float], *keys: str) -> DataFrame:
+    """Quantiles (q, quantile) of cumulative bucket counts, linear within a bucket; the last finite bound if one lies beyond."""
     ordered = F.array_sort(F.collect_list(F.struct("le", "n")))
-    rows = counts.groupBy(*keys).agg(ordered.alias("h"))
-    rank = F.lit(q) * F.element_at("h", -1)["n"]
-    rows = rows.withColumn("rank", rank).withColumn("i", F.expr("cast(size(filter(h, x -> x.n < rank)) as int)"))
+    rows = counts.groupBy(*keys).agg(ordered.alias("h")).withColumn("q", F.explode(F.array(*map(F.lit, qs))))
+    rows = rows.withColumn("rank", F.col("q") * F.element_at("h", -1)["n"]).withColumn("i", F.expr("cast(size(filter(h, x -> x.n < rank)) as int)"))
     low, before = F.when(F.col("i") == 0, 0.0).otherwise(F.expr("h[i - 1].le")), F.when(F.col("i") == 0, 0).otherwise(F.expr("h[i - 1].n"))
     high, n = F.expr("get(h, i).le"), F.expr("get(h, i).n")
     inside = low + (high - low) * F.try_divide(F.col("rank") - before, n - before)
-    return rows.select(*keys, F.when(F.element_at("h", -1)["n"] == 0, F.lit(None)).when(F.col("i") >= F.size("h") - 1, F.expr("h[size(h) - 2].le")).otherwise(inside).alias("quantile"))
+    last = F.expr("h[size(h) - 2].le")
+    return rows.select(*keys, "q", F.when(F.element_at("h", -1)["n"] == 0, F.lit(None)).when(F.col("i") >= F.size("h") - 1, last).otherwise(inside).alias("quantile"))
 
 
 def trailing_rate(rows: DataFrame, seconds: float, *keys: str) -> DataFrame:

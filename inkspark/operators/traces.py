@@ -43,14 +43,20 @@ def fastest_slowest(rows: DataFrame, level: str, core: str, value: str) -> DataF
     return cores.groupBy(level).agg(F.min_by(core, F.struct("m", core)).alias("fastest"), F.max_by(core, F.struct(F.col("m"), -F.col(core))).alias("slowest"))
 
 
+def each_bin(rows: DataFrame, low: str, high: str, name: str, part: int = 4096) -> DataFrame:
+    """Rows with every bin from low to high, none if high is lower; made in parts, so that no array grows with the span."""
+    rows = rows.where(F.col(low) <= F.col(high)).withColumn("_part", F.explode(F.sequence(F.col(low), F.col(high), F.lit(part).cast("long"))))
+    return rows.withColumn(name, F.explode(F.sequence(F.col("_part"), F.least(F.col("_part") + (part - 1), F.col(high))))).drop("_part")
+
+
 def binned(rows: DataFrame, at: Column, key: str, width_us: int, *aggregates: Column) -> DataFrame:
     """Aggregates in bins of width_us, with a row for every bin between a group's first and last; the two outer bins go.
 
-    The gaps are filled from a generated sequence of bins, one for each group; time_s counts from the group's first bin.
+    The gaps are filled from generated bins; time_s counts from the group's first bin.
     """
     found = rows.withColumn("bin", F.floor(at / width_us)).groupBy(key, "bin").agg(*aggregates)
-    spine = found.groupBy(key).agg(F.min("bin").alias("_b0"), F.max("bin").alias("_b1")).where("_b1 - _b0 > 1")
-    spine = spine.select(key, "_b0", F.explode(F.sequence(F.col("_b0") + 1, F.col("_b1") - 1)).alias("bin"))
+    spine = found.groupBy(key).agg(F.min("bin").alias("_b0"), (F.min("bin") + 1).alias("_low"), (F.max("bin") - 1).alias("_high"))
+    spine = each_bin(spine, "_low", "_high", "bin").drop("_low", "_high")
     return spine.join(found, [key, "bin"], "left").withColumn("time_s", (F.col("bin") - F.col("_b0")) * (width_us / SECOND)).drop("_b0")
 
 
@@ -66,8 +72,8 @@ def range_join(samples: DataFrame, runs: DataFrame, ts: str, low: str, high: str
     Choose the width near the usual length of an interval; a very long interval is spread over many tasks.
     """
     left = samples.withColumn("_bin", F.floor(F.col(ts) / width))
-    right = runs.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
-    return left.join(right, "_bin").where(F.col(ts).between(F.col(low), F.col(high))).drop("_bin")
+    right = runs.withColumns({"_low": F.floor(F.col(low) / width), "_high": F.floor(F.col(high) / width)})
+    return left.join(each_bin(right, "_low", "_high", "_bin").drop("_low", "_high"), "_bin").where(F.col(ts).between(F.col(low), F.col(high))).drop("_bin")
 
 
 def marginal(rows: DataFrame, order: str, value: str, *keys: str) -> DataFrame:

@@ -382,8 +382,7 @@ SELECT metric_name, q, round(CASE WHEN isinf(h.le) THEN {BOUNDS[-1]} ELSE h.low
 @query("a22_histogram_quantile", QUANTILE)
 def a22(spark, d):
     counts = monitor.bucket_counts(metrics(spark, d), BOUNDS, "metric_name")
-    out = [monitor.histogram_quantile(counts, q, "metric_name").select("metric_name", F.lit(q).alias("q"), F.round("quantile", 6).alias("quantile")) for q in (0.5, 0.9, 0.9999)]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    return rounded(monitor.histogram_quantiles(counts, [0.5, 0.9, 0.9999], "metric_name").withColumn("q", F.col("q").cast("double")))
 
 
 @query("a23_bucket_increase", f"WITH {METRICS} SELECT metric_name, time_us // {DAY} AS day, {', '.join(f'count(*) FILTER (WHERE value <= {b}) AS le_{b:g}' for b in BOUNDS)}, count(*) AS le_inf FROM metrics GROUP BY ALL")
