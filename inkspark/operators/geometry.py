@@ -112,6 +112,22 @@ def font_fit(width: Column, height: Column, text: Column) -> Column:
     return F.least(width / (0.55 * F.length(text)), height)
 
 
+def fit_to_view(width: Column, height: Column, view_width: Column, view_height: Column) -> Column:
+    """struct<x, y, scale> that centres an image in a view, at 95 % of what fits and no larger than it is."""
+    scale_by = F.least(view_width / width, view_height / height, F.lit(1.0)) * 0.95
+    return F.when((view_width > 0) & (view_height > 0), F.struct(((view_width - width * scale_by) / 2).alias("x"), ((view_height - height * scale_by) / 2).alias("y"), scale_by.alias("scale"))).otherwise(
+        F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(1.0).alias("scale"))
+    )
+
+
+def zoomed(view: Column, factor: Column, view_width: Column, view_height: Column) -> Column:
+    """The view enlarged about its middle; its scale stays from 0.1 to 10."""
+    old = F.when(view["scale"] > 0, view["scale"]).otherwise(1.0)
+    new = F.greatest(F.lit(0.1), F.least(F.lit(10.0), old * factor))
+    moved = lambda side, v: side / 2 - (side / 2 - v) * new / old
+    return F.struct(moved(view_width, view["x"]).alias("x"), moved(view_height, view["y"]).alias("y"), new.alias("scale"))
+
+
 # Kernels on arrays of shape (n, 2).
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkspark.functions import formats
-from inkspark.operators import decode, evaluate, geometry, monitor, relief, tiling, traces
+from inkspark.operators import decode, evaluate, geometry, inventory, monitor, relief, tiling, traces
 from inkspark.plans import pipeline
 from inkspark.sources import readers, sinks
 
@@ -845,6 +845,41 @@ def s9(spark, d):
     return readers.perf_lines(lines)
 
 
+@query("s9_perf_samples", """WITH e AS (SELECT l_orderkey AS second, l_linenumber AS k, l_partkey % 1000 AS n FROM lineitem),
+s AS (SELECT second, sum(CASE WHEN k % 2 = 1 THEN n ELSE 0 END) AS i, sum(CASE WHEN k IN (2, 4) THEN n ELSE 0 END) AS c, sum(CASE WHEN k = 1 THEN n / 10 ELSE 0 END) AS l1, sum(CASE WHEN k IN (2, 3) THEN n / 10 ELSE 0 END) AS mem, coalesce(arg_max(n / 10, n) FILTER (WHERE k = 4), 0) AS bw FROM e GROUP BY second)
+SELECT second * 1.0::DOUBLE AS second, round(mem, 6) AS memory_bound_pct, round(l1, 6) AS l1_bound_pct, round(bw, 6) AS bandwidth_gbps, round(CASE WHEN c > 0 THEN i / c ELSE 0 END, 6) AS ipc FROM s""")
+def s9b(spark, d):
+    n = "CAST(l_partkey % 1000 AS STRING)"
+    event = "CASE WHEN l_linenumber % 2 = 1 THEN 'cpu_core/INSTRUCTIONS/' WHEN l_linenumber = 6 THEN 'cpu_clk_unhalted.cycles' ELSE 'cpu_atom/cycles/' END"
+    tail = "CASE WHEN l_linenumber = 1 THEN concat(',1,100,', l_partkey % 1000 / 10, ',%  tma_l1_bound') WHEN l_linenumber IN (2, 3) THEN concat(',1,100,', l_partkey % 1000 / 10, ',% tma_memory_bound') WHEN l_linenumber = 4 THEN concat(',1,100,', l_partkey % 1000 / 10, ',tma_info_system_dram_bw_use') WHEN l_linenumber = 5 THEN ',1,100,x,% tma_l2_bound' ELSE '' END"
+    lines = table(spark, d, "lineitem").selectExpr("l_partkey % 1000 AS line_no", f"concat_ws(',', l_orderkey, {n}, '', concat({event}, {tail})) AS value")
+    rows = readers.perf_samples(lines)
+    return rounded(rows.select("second", "memory_bound_pct", "l1_bound_pct", "bandwidth_gbps", "ipc"))
+
+
+@query("a28_parameters", """WITH t AS (SELECT ['float32', 'int8', 'int64', 'float16'][p_partkey % 4 + 1] AS dtype, CASE WHEN p_partkey % 9 = 0 THEN 1 ELSE p_size * (p_partkey % 7 + 1) END AS n FROM part)
+SELECT dtype, sum(n)::BIGINT AS n, (sum(n) * CASE dtype WHEN 'float32' THEN 4 WHEN 'int8' THEN 1 WHEN 'int64' THEN 8 ELSE 2 END)::BIGINT AS bytes, round(100 * sum(n) / (SELECT sum(n) FROM t), 6) AS pct FROM t GROUP BY dtype""")
+def a28(spark, d):
+    dtype = F.element_at(F.array(*map(F.lit, ("float32", "int8", "int64", "float16"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    dims = F.when(F.col("p_partkey") % 9 == 0, F.array().cast("array<long>")).otherwise(F.array(F.col("p_size").cast("long"), F.col("p_partkey") % 7 + 1))
+    return rounded(inventory.parameters(table(spark, d, "part").select(dtype.alias("dtype"), dims.alias("dims"))))
+
+
+@query("a28_operators", "SELECT p_type AS op_type, count(*) AS n FROM part GROUP BY p_type")
+def a28b(spark, d):
+    return inventory.operators(table(spark, d, "part").select(F.col("p_type").alias("op_type")))
+
+
+@query("g21_views", f"""WITH {SIZES}, f AS (SELECT p_partkey, width, height, least(1280 / width, 720 / height, 1) * 0.95::DOUBLE AS s, p_partkey % 30 / 2.0::DOUBLE AS factor FROM sizes),
+z AS (SELECT *, (1280 - width * s) / 2 AS x, (720 - height * s) / 2 AS y, greatest(0.1, least(10, s * factor)) AS t FROM f)
+SELECT p_partkey, round(x, 6) AS x, round(y, 6) AS y, round(s, 9) AS scale, round(640 - (640 - x) * t / s, 6) AS zoomed_x, round(360 - (360 - y) * t / s, 6) AS zoomed_y, round(t, 9) AS zoomed_scale FROM z""")
+def g21(spark, d):
+    w, h = F.lit(1280.0), F.lit(720.0)
+    rows = sizes(spark, d).select("p_partkey", geometry.fit_to_view(F.col("width"), F.col("height"), w, h).alias("v"))
+    rows = rows.withColumn("z", geometry.zoomed(F.col("v"), F.col("p_partkey") % 30 / 2.0, w, h))
+    return rows.select("p_partkey", F.round("v.x", 6).alias("x"), F.round("v.y", 6).alias("y"), F.round("v.scale", 9).alias("scale"), F.round("z.x", 6).alias("zoomed_x"), F.round("z.y", 6).alias("zoomed_y"), F.round("z.scale", 9).alias("zoomed_scale"))
+
+
 @query("s11_r3_results", "SELECT page_id AS image, 0 AS pos, page_id / 2.0::DOUBLE AS x, 'w' || page_id AS text, 0.5::DOUBLE AS confidence FROM pages")
 def s11(spark, d):
     box = """'{"filename":"img_', page_id, '.jpg","results":[{"boundingBox":{"rotatedRectangle":{"x":', {x}, ',"y":1,"height":2,"width":3,"angle":0}},"text":"', {t}, '","confidence":0.5},{"boundingBox":{},"text":"none","confidence":1}]}'"""

@@ -230,6 +230,12 @@ def draw_files(found: DataFrame, read: DataFrame, detector: Callable[[], Kernel]
     return found.join(read.where("error is null").select("seq", "results"), "seq").mapInPandas(work, "seq long, path string, svg string")
 
 
+def text_buffer(text: str) -> tuple[bytes, int]:
+    """A result's UTF-8 bytes with a zero byte after them, and their number without it."""
+    raw = text.encode()
+    return raw + b"\0", len(raw)
+
+
 class Reader:
     """Handles for single images: submit, wait with a time limit, cancel. Admission is bounded, first come first served."""
 

@@ -91,6 +91,36 @@ def perf_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     return rows.where("second is not null and n is not null").groupBy("second", "event").agg(F.sum("n").alias("n"))
 
 
+#: The derived metrics of perf's output and what they are called here.
+TOP_DOWN = {
+    "tma_memory_bound": "memory_bound_pct", "tma_l1_bound": "l1_bound_pct", "tma_l2_bound": "l2_bound_pct", "tma_l3_bound": "l3_bound_pct",
+    "tma_dram_bound": "dram_bound_pct", "tma_info_system_dram_bw_use": "bandwidth_gbps",
+}
+
+
+def perf_samples(lines: DataFrame, line: str = "value", order: str = "line_no") -> DataFrame:
+    """A row for each second of `perf stat -x,` output: ipc over all cores, and the metrics that lines end with, 0 where absent.
+
+    Metrics of several lines of a second add up, but of the bandwidth the last one counts.
+    """
+    parts = F.transform(F.split(F.trim(line), ","), lambda x: F.trim(x))
+    rows = lines.where(~F.ltrim(F.col(line)).startswith("#")).select(F.col(order).alias("_order"), parts.alias("p")).where(F.size("p") >= 4)
+    rows = rows.withColumn("second", F.col("p")[0].try_cast("double")).where("second is not null")
+    event, value = F.lower(F.col("p")[3]), F.coalesce(F.col("p")[1].try_cast("double"), F.lit(0.0))
+    names = F.transform("p", lambda x: F.regexp_replace(x, r"^%\s*", ""))
+    at = F.array_max(F.transform(names, lambda x, i: F.when(x.startswith("tma_") & (i > 3), i)))
+    rows = rows.select("_order", "second", event.alias("event"), value.alias("n"), F.get(names, at).alias("metric"), F.get("p", at - 1).try_cast("double").alias("metric_value"))
+    instructions = F.col("event").contains("instructions")
+    cycles = ~instructions & F.col("event").contains("cycles") & ~F.col("event").contains("unhalted")
+    counted = lambda which: F.sum(F.when(which, F.col("n")).otherwise(0.0))
+    of = lambda name: F.col("metric") == name
+    metrics = [F.coalesce(F.sum(F.when(of(k), F.col("metric_value"))), F.lit(0.0)).alias(v) for k, v in TOP_DOWN.items() if v != "bandwidth_gbps"]
+    used = of("tma_info_system_dram_bw_use") & F.col("metric_value").isNotNull()
+    bandwidth = F.coalesce(F.max_by(F.when(used, F.col("metric_value")), F.when(used, F.col("_order"))), F.lit(0.0)).alias("bandwidth_gbps")
+    made = rows.groupBy("second").agg(counted(instructions).alias("_i"), counted(cycles).alias("_c"), *metrics, bandwidth)
+    return made.withColumn("ipc", F.when(F.col("_c") > 0, F.col("_i") / F.col("_c")).otherwise(0.0)).drop("_i", "_c")
+
+
 def detections(lines: DataFrame, line: str = "value", order: str = "line_no") -> DataFrame:
     """(image, pos, rect, text, confidence) of result lines; of lines with the same image the last counts."""
     rows = lines.select(F.col(order), F.from_json(line, RESULTS).alias("r")).select(order, "r.*")
@@ -101,7 +131,12 @@ def detections(lines: DataFrame, line: str = "value", order: str = "line_no") ->
 
 def zip_entries(archives: DataFrame, pattern: str, all_entries: bool = False) -> DataFrame:
     """(archive, key, content) of the entries whose name matches; key is the first group. Archives come as binaryFile rows."""
+    return _entries(archives, pattern, all_entries, True)
+
+
+def _entries(archives: DataFrame, pattern: str, all_entries: bool, contents: bool) -> DataFrame:
     matcher = re.compile(pattern)
+    names = ["archive", "key", "content"][: 2 + contents]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -111,12 +146,18 @@ def zip_entries(archives: DataFrame, pattern: str, all_entries: bool = False) ->
                     for name in z.namelist():
                         found = matcher.match(name)
                         if found:
-                            out.append((path, found.group(1) if found.groups() else name, z.read(name)))
+                            row = (path, found.group(1) if found.groups() else name)
+                            out.append((*row, z.read(name)) if contents else row)
                         elif all_entries:
                             raise ValueError(f"{name} is no valid entry")
-            yield pd.DataFrame(out, columns=["archive", "key", "content"])
+            yield pd.DataFrame(out, columns=names)
+
+    return archives.select("path", "content").mapInPandas(run, "archive string, key string" + ", content binary" * contents)
+
 
-    return archives.select("path", "content").mapInPandas(run, "archive string, key string, content binary")
+def zip_keys(archives: DataFrame, pattern: str, all_entries: bool = False) -> DataFrame:
+    """(archive, key) of the entries whose name matches, without reading them."""
+    return _entries(archives, pattern, all_entries, False)
 
 
 def multipart(body: bytes, content_type: str) -> list[bytes]:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkspark.__main__ import main
-from inkspark.functions import formats
+from inkspark.functions import flags, formats
 from inkspark.operators import geometry, monitor
 from inkspark.plans import pipeline
 from inkspark.sources import readers, sinks
@@ -179,3 +179,31 @@ def test_crops_have_the_rectangle_s_size_and_colours(angle):
     out = pipeline.crop(image, rect)
     assert abs(out.shape[1] - 90) <= 2 and abs(out.shape[0] - 40) <= 2
     assert abs(int(out[20, 45, 0]) - 127) < 8 and abs(int(out[20, 45, 1]) - 127) < 8 and out[20, 10, 0] < out[20, 80, 0] and out[5, 45, 1] < out[35, 45, 1]
+
+
+def test_flags():
+    given = flags.Flags("x --model DbNet --cores 0 2 4 --warm --duration 1.5 -v 9 --cores 1 3".split())
+    assert given.get("cores", [int]) == [1, 3] and given.get("duration", float) == 1.5 and given.get("warm", bool) and given.get("warm") == ""
+    assert given.get("model") == "DbNet" and given.get("absent", int, 7) == 7 and given.get("cores", int) == 1
+    with pytest.raises(flags.UnrecognizedFlag):
+        given.get("absent")
+
+
+def test_text_buffer():
+    assert pipeline.text_buffer("é") == (b"\xc3\xa9\0", 2)
+
+
+def test_keys_of_archives(spark, tmp_path):
+    path = str(tmp_path / "a.zip")
+    sinks.write_zip(spark.createDataFrame([("res_img_1.txt", "1"), ("other", "")], "name string, content string"), path)
+    archives = spark.read.format("binaryFile").load(path)
+    assert [r["key"] for r in readers.zip_keys(archives, r"res_img_(\d+)\.txt").collect()] == ["1"]
+    with pytest.raises(Exception, match="no valid entry"):
+        readers.zip_keys(archives, r"res_img_(\d+)\.txt", all_entries=True).collect()
+
+
+def test_perf_samples(spark):
+    lines = ["# started", "", "1.0,<not counted>,,cpu_core/cycles/", "1.0,200,,cpu_core/instructions/,5,100.0,12.5,%  tma_l1_bound", "1.0,100,,cpu_atom/cycles/,5,1,2.5,% tma_l1_bound",
+             "1.0,5,,x,5,1,30,tma_info_system_dram_bw_use", "1.0,5,,x,5,1,20,tma_info_system_dram_bw_use", "bad,1,2,3", "2.0,1,x", " 3.0,7,,cpu_clk_unhalted.cycles"]
+    rows = {r["second"]: r for r in readers.perf_samples(spark.createDataFrame(list(enumerate(lines)), "line_no long, value string")).collect()}
+    assert set(rows) == {1.0, 3.0} and rows[1.0]["ipc"] == 2.0 and rows[1.0]["l1_bound_pct"] == 15.0 and rows[1.0]["bandwidth_gbps"] == 20.0 and rows[3.0]["ipc"] == 0.0
