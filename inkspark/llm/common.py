@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +54,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release() -> None:
+    """Let go of what a Python worker holds for the tokenizer, and of freed Arrow memory, as the next operator in it needs neither."""
+    if tokens := sys.modules.get("inkspark.llm.tokens"):
+        tokens.forget()
+    pa.default_memory_pool().release_unused()
+
+
 def column(name: str) -> Column:
     """The column of just this name, with dots or backticks in it."""
     return F.col("`" + name.replace("`", "``") + "`")

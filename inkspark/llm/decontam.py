@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkspark.llm import shingles
-from inkspark.llm.common import save, work_dir
+from inkspark.llm.common import release, save, work_dir
 
 SCHEMA = "doc_id long, item_id long, n_item_shingles long, n_shared long, containment double"
 
@@ -70,6 +70,7 @@ class ItemIndex:
 
 def _search(index: ItemIndex, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             docs, items, sizes, shared = [], [], [], []
             for doc, values in zip(batch["doc_id"].to_pylist(), shingles.shingle_sets(batch["text"], width), strict=True):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from inkspark.llm.common import column, free, partitions, remove, save, work_dir
+from inkspark.llm.common import column, free, partitions, release, remove, save, work_dir
 
 WHITE = b" \t\n\x0b\x0c\r"
 _LOWER = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 256))
@@ -48,6 +48,7 @@ def line_keys(text: bytes, min_chars: int) -> list[tuple[int, int] | None]:
 
 def _keys_of(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             ids, high, low = [], [], []
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].cast(pa.binary()), strict=True):
@@ -148,6 +149,7 @@ class LineRuns:
 
 def _rewrite(min_chars: int, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             n_lines, n_dropped, kept = [], [], []
             for text, drops in zip(batch["text"].cast(pa.binary()), batch["drops"], strict=True):

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkspark.llm import shingles
-from inkspark.llm.common import lookup, save, work_dir
+from inkspark.llm.common import lookup, release, save, work_dir
 
 #: The chance at which a linked pair may share fewer retained values than step 2 assumes.
 MISS = 1e-8
@@ -55,6 +55,7 @@ def least_shared(k: int, num: int = 3, den: int = 4, miss: float = MISS) -> int:
 
 def _sketches(k: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             sizes, first, second, kept = [], [], [], []
             for values in shingles.shingle_sets(batch["text"], width):

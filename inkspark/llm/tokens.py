@@ -139,6 +139,11 @@ def encoder(path: str, held: int = HELD) -> Encoder:
     return _encoders[path]
 
 
+def forget() -> None:
+    """Drop the worker's encoders with the pieces that they hold."""
+    _encoders.clear()
+
+
 def batches_of(texts: list[str | None], chars: int = 4_000_000):
     """Runs (first, last, texts) of about so many characters, with null as empty."""
     first, held, some = 0, 0, []
