@@ -153,6 +153,18 @@ def test_encoder_gives_the_library_s_ids(texts):
             assert [x.tolist() for x in enc.ids(some)] == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in some]
 
 
+def test_encoder_cuts_where_the_library_does():
+    draw = random.Random(5)
+    signs = [*"abXYZHhéÀɏİß×÷ .,;:!?|*%#&$\n'\"01-_\t文é😀ſK\u0301\u0331\u0307", "the ", "can't", " I'll", "\r\n", "\x00"]
+    some = ["".join(draw.choices(signs[:n], k=draw.randint(0, 40))) for n in (12, 24, len(signs)) for _ in range(2000)]
+    some += ["", " ", "\n", "H\u0331 h\u0331, E\u0301. a,\u0301b", "x" * 100_000, "w, " * 30_000 + "w"]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        enc = tokens.Encoder(tokenizer_path(name), held=1000)
+        want = [x.ids for x in enc.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        assert [x.tolist() for x in enc.ids(some)] == want
+        assert [x.tolist() for t in some[::100] for x in enc.ids([t])] == want[::100] and enc.ids([]) == []
+
+
 def best_fit(counts, length):
     gaps, n = [], 0
     for size in sorted(counts, reverse=True):
