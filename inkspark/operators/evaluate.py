@@ -2,17 +2,34 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from inkspark.operators.geometry import area, bounds, intersection_udf, iou_udf
+from inkspark.operators.geometry import area, bounds, clip_areas, clockwise, convex, intersection_udf
 
 #: Defaults of the evaluation.
 PARAMETERS = {"IOU_CONSTRAINT": 0.5, "AREA_PRECISION_CONSTRAINT": 0.5, "CONFIDENCES": False, "PER_SAMPLE_RESULTS": True, "CRLF": False, "LTRB": False}
 DONT_CARE = "###"
+#: Groups of boxes are dealt to no more tasks than this.
+MOST_TASKS = 4096
+
+
+def _spread(rows: DataFrame, name: str, image: str, cell: float) -> DataFrame:
+    """Boxes with their bounds, once for each cell of a grid that these meet."""
+    rows = rows.select(image, F.col("id").alias(f"{name}_id"), F.col("points").alias(f"{name}_points"), bounds(F.col("points")).alias(name))
+    first = lambda axis: F.floor(F.col(f"{name}.{axis}") / cell)
+    last = lambda axis, size: F.floor((F.col(f"{name}.{axis}") + F.col(f"{name}.{size}")) / cell)
+    rows = rows.withColumn("column", F.explode(F.sequence(first("x"), last("x", "width"))))
+    return rows.withColumn("line", F.explode(F.sequence(first("y"), last("y", "height"))))
 
 
 def box_pairs(gt: DataFrame, det: DataFrame, image: str = "image", cell: float = 512.0) -> DataFrame:
@@ -21,24 +38,85 @@ def box_pairs(gt: DataFrame, det: DataFrame, image: str = "image", cell: float =
     Boxes are joined on the cells of a grid that their bounds meet; a pair counts in the first cell that both meet.
     """
 
-    def spread(rows: DataFrame, name: str) -> DataFrame:
-        rows = rows.select(image, F.col("id").alias(f"{name}_id"), F.col("points").alias(f"{name}_points"), bounds(F.col("points")).alias(name))
-        first = lambda axis: F.floor(F.col(f"{name}.{axis}") / cell)
-        last = lambda axis, size: F.floor((F.col(f"{name}.{axis}") + F.col(f"{name}.{size}")) / cell)
-        rows = rows.withColumn("column", F.explode(F.sequence(first("x"), last("x", "width"))))
-        return rows.withColumn("line", F.explode(F.sequence(first("y"), last("y", "height"))))
-
     g, d = F.col("gt"), F.col("det")
     over = lambda axis, size: (g[axis] <= d[axis] + d[size]) & (d[axis] <= g[axis] + g[size])
-    pairs = spread(gt, "gt").join(spread(det, "det"), [image, "column", "line"]).where(over("x", "width") & over("y", "height"))
+    pairs = _spread(gt, "gt", image, cell).join(_spread(det, "det", image, cell), [image, "column", "line"]).where(over("x", "width") & over("y", "height"))
     here = (F.col("column") == F.floor(F.greatest(g["x"], d["x"]) / cell)) & (F.col("line") == F.floor(F.greatest(g["y"], d["y"]) / cell))
     return pairs.where(here).select(image, "gt_id", "det_id", "gt_points", "det_points")
 
 
-def overlapping(gt: DataFrame, det: DataFrame, image: str = "image", least: float = 0.5) -> DataFrame:
-    """Pairs (image, gt_id, det_id, iou) above `least`."""
-    pairs = box_pairs(gt, det, image).withColumn("iou", iou_udf("gt_points", "det_points"))
-    return pairs.where(F.col("iou") > least).select(image, "gt_id", "det_id", "iou")
+def _pairs_above(image: str, least: float, cell: float, schema: pa.Schema):
+    """Overlaps above `least` of the boxes of two tables with the same image, cell and part."""
+
+    def rings(rows: pa.Table, name: str) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+        flat = rows[f"{name}_flat"].combine_chunks()
+        ends = flat.offsets.to_numpy() // 2
+        points = flat.values.to_numpy(zero_copy_only=False)[2 * ends[0] : 2 * ends[-1]].reshape(-1, 2)
+        ends = (ends - ends[0]).astype(np.int64)
+        points, area = clockwise(points, ends)
+        box = {c: rows[c].to_numpy() for c in ("x", "y", "width", "height")} | {"area": area, "convex": convex(points, ends)}
+        return box | {"x2": box["x"] + box["width"], "y2": box["y"] + box["height"]}, points, ends
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return schema.empty_table()
+        names = [image, "column", "line", "part"]
+        keys = pa.concat_tables([left.select(names), right.select(names)]).combine_chunks()
+        code = pc.dictionary_encode(keys[image]).combine_chunks()
+        code = np.stack([code.indices.to_numpy(), *(keys[c].to_numpy() for c in names[1:])], 1)
+        code = np.unique(code, axis=0, return_inverse=True)[1].reshape(-1)
+        column, line = (left[c].to_numpy() for c in ("column", "line"))
+        order = np.argsort(code[len(left) :], kind="stable")
+        of_right = code[len(left) :][order]
+        first = np.searchsorted(of_right, code[: len(left)])
+        n = np.searchsorted(of_right, code[: len(left)], "right") - first
+        (g, a, a_ends), (d, b, b_ends) = rings(left, "gt"), rings(right, "det")
+        found = []
+        for rows in np.split(np.arange(len(left)), np.flatnonzero(np.diff(np.cumsum(n) // (1 << 18))) + 1):
+            own = n[rows]
+            i = np.repeat(rows, own)
+            j = order[np.arange(len(i)) + np.repeat(first[rows] - np.cumsum(own) + own, own)]
+            left_at, right_at = np.maximum(g["x"][i], d["x"][j]), np.minimum(g["x2"][i], d["x2"][j])
+            top, bottom = np.maximum(g["y"][i], d["y"][j]), np.minimum(g["y2"][i], d["y2"][j])
+            # a pair counts in the first cell that both bounds meet
+            stay = (left_at <= right_at) & (top <= bottom) & (column[i] == np.floor(left_at / cell)) & (line[i] == np.floor(top / cell))
+            # convex rings share no more than their bounds do, nor than either has
+            most = np.minimum((right_at - left_at) * (bottom - top), np.minimum(g["area"][i], d["area"][j])) * (1 + 1e-9)
+            stay &= (most > least * (g["area"][i] + d["area"][j] - most)) | ~(g["convex"][i] & d["convex"][j])
+            i, j = i[stay], j[stay]
+            both = clip_areas(a, a_ends, b, b_ends, i, j)
+            union = g["area"][i] + d["area"][j] - both
+            iou = np.divide(both, union, out=np.zeros(len(i)), where=union > 0)
+            stay = iou > least
+            found.append((i[stay], j[stay], iou[stay]))
+        i, j, iou = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.Table.from_arrays([left[image].take(i), left["gt_id"].take(i), right["det_id"].take(j), pa.array(iou)], schema=schema)
+
+    return run
+
+
+def overlapping(gt: DataFrame, det: DataFrame, image: str = "image", least: float = 0.5, cell: float = 512.0, part_boxes: int = 256) -> DataFrame:
+    """Pairs (image, gt_id, det_id, iou) above `least`.
+
+    A cell's ground truth is dealt into parts, so many that an image has about `part_boxes` in one, and each part meets all
+    detections of the cell: a task gets boxes and makes their pairs itself, of which only those above `least` leave it.
+    """
+
+    def boxes(rows: DataFrame, name: str) -> DataFrame:
+        flat = F.flatten(F.transform(f"{name}_points", lambda p: F.array(p["x"].cast("double"), p["y"].cast("double"))))
+        side = [F.col(f"{name}.{c}").cast("double").alias(c) for c in ("x", "y", "width", "height")]
+        return _spread(rows, name, image, cell).select(image, "column", "line", f"{name}_id", flat.alias(f"{name}_flat"), *side)
+
+    held = gt.groupBy(image).agg(F.ceil(F.count(F.lit(1)) / part_boxes).cast("int").alias("parts"))
+    g = boxes(gt, "gt").join(held, image).withColumn("part", F.pmod(F.xxhash64("gt_id"), F.col("parts")).cast("int")).drop("parts")
+    d = boxes(det, "det").join(held, image).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    groups = max(1, math.ceil(gt.count() / part_boxes))  # many small images share a group
+    group = F.pmod(F.xxhash64(image, "column", "line", "part"), F.lit(groups)).alias("group")
+    # the boxes are few bytes with many pairs: Spark is not to join tasks by their size
+    g, d = (rows.select(*[F.col(c).alias(c) for c in rows.columns], group).repartition(min(groups, MOST_TASKS), "group") for rows in (g, d))  # anew, as both may be one frame
+    schema = T.StructType([gt.schema[image], T.StructField("gt_id", gt.schema["id"].dataType), T.StructField("det_id", det.schema["id"].dataType), T.StructField("iou", T.DoubleType())])
+    run = _pairs_above(image, least, cell, to_arrow_schema(schema))
+    return g.groupBy("group").cogroup(d.groupBy("group")).applyInArrow(run, schema)
 
 
 def not_cared_for(gt: DataFrame, det: DataFrame, image: str = "image", least: float = PARAMETERS["AREA_PRECISION_CONSTRAINT"]) -> DataFrame:
@@ -52,24 +130,26 @@ def match(gt: DataFrame, det: DataFrame, image: str = "image", least: float = PA
     """One-to-one matches (image, gt_id, det_id, iou) of rows (image, id, points, care), greedy within an image.
 
     In ground-truth order each takes the first free detection above `least`; with best_first, the highest overlaps are taken
-    first (to nine digits; equal ones by ids). An image's pairs above `least` are one group, as the order decides; images are spread.
+    first (to nine digits; equal ones by ids). An image's pairs above `least` pass one task in this order, of which it holds
+    the ids that are taken; images are spread.
     """
     pairs = overlapping(gt.where("care"), det.where("care"), image, least)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if best_first:
-            pdf = pdf.assign(order=-pdf["iou"].round(9)).sort_values(["order", "gt_id", "det_id"])
-        else:
-            pdf = pdf.sort_values(["gt_id", "det_id"])
-        taken_g, taken_d, rows = set(), set(), []
-        for i, (g, d) in enumerate(zip(pdf["gt_id"].tolist(), pdf["det_id"].tolist(), strict=True)):
-            if g not in taken_g and d not in taken_d:
-                taken_g.add(g)
-                taken_d.add(d)
-                rows.append(i)
-        return pdf.iloc[rows][[image, "gt_id", "det_id", "iou"]]
-
-    return pairs.groupBy(image).applyInPandas(run, pairs.schema)
+    order = [F.desc(F.round("iou", 9))] * best_first + ["gt_id", "det_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, taken_g, taken_d = None, set(), set()
+        for batch in batches:
+            rows = []
+            for i, (of, g, d) in enumerate(zip(*(batch[c].to_pylist() for c in (image, "gt_id", "det_id")), strict=True)):
+                if of != now:
+                    now, taken_g, taken_d = of, set(), set()
+                if g not in taken_g and d not in taken_d:
+                    taken_g.add(g)
+                    taken_d.add(d)
+                    rows.append(i)
+            yield batch.take(pa.array(rows, pa.int64()))
+
+    return pairs.repartition(image).sortWithinPartitions(image, *order).mapInArrow(run, pairs.schema)
 
 
 def evaluation(gt: DataFrame, det: DataFrame, image: str = "image", iou_above: float = PARAMETERS["IOU_CONSTRAINT"], area_above: float = PARAMETERS["AREA_PRECISION_CONSTRAINT"], best_first: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -208,6 +208,93 @@ def clip_area(a: np.ndarray, b: np.ndarray) -> float:
     return abs(_signed(np.array(ring)))
 
 
+#: Corners of pairs that are clipped at once.
+_CLIPPED = 1 << 17
+
+
+def _ring_numbers(ends: np.ndarray) -> np.ndarray:
+    return np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+
+
+def _shoelace(x: np.ndarray, y: np.ndarray, owner: np.ndarray, rings: int) -> np.ndarray:
+    """Signed areas of rings whose corners stand in a row, each with its ring's number."""
+    following = _following(owner)
+    return np.bincount(owner, x * y[following] - x[following] * y, rings) / 2
+
+
+def _following(owner: np.ndarray) -> np.ndarray:
+    """Where the corner after each one stands in its ring."""
+    turn = np.flatnonzero(owner[1:] != owner[:-1]) + 1
+    at = np.arange(1, len(owner) + 1)
+    if len(at):
+        at[np.append(turn, len(at)) - 1] = np.append(0, turn)
+    return at
+
+
+def clockwise(points: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rings (corners from one end to the next) turned so that their signed areas aren't negative, and these areas."""
+    owner = _ring_numbers(ends)
+    size = _shoelace(*points.T, owner, len(ends) - 1)
+    at = np.arange(len(points))
+    back = size[owner] < 0
+    at[back] = (ends[:-1] + ends[1:] - 1)[owner[back]] - at[back]
+    return points[at], np.abs(size)
+
+
+def convex(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether each of rings from `clockwise` surely is strictly convex: three or four corners, all turning the same way."""
+    owner = _ring_numbers(ends)
+    following = _following(owner)
+    side = points[following] - points
+    turn = side[:, 0] * side[following, 1] - side[:, 1] * side[following, 0]
+    n = np.diff(ends)
+    return (np.bincount(owner, turn > 0, len(n)) == n) & ((n == 3) | (n == 4))
+
+
+def clip_areas(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """`clip_area` of many pairs at once: of rings number i of a with rings number j of b, both from `clockwise`."""
+    n, m = np.diff(a_ends)[i], np.diff(b_ends)[j]
+    out = np.zeros(len(i))
+    # pairs whose second rings have about as many edges go together
+    order = np.argsort(np.frexp(m)[1], kind="stable")
+    part = np.cumsum((n + m)[order]) // _CLIPPED
+    edges = np.frexp(m[order])[1]
+    cuts = np.flatnonzero((part[1:] != part[:-1]) | (edges[1:] != edges[:-1])) + 1
+    for some in np.split(order, cuts):
+        some = some[(n[some] > 2) & (m[some] > 2)]
+        if len(some):
+            out[some] = _clipped(a, a_ends[i[some]], n[some], b, b_ends[j[some]], m[some])
+    return out
+
+
+def _clipped(a: np.ndarray, a_first: np.ndarray, n: np.ndarray, b: np.ndarray, b_first: np.ndarray, m: np.ndarray) -> np.ndarray:
+    owner = np.repeat(np.arange(len(n)), n)
+    x, y = a[np.arange(len(owner)) + np.repeat(a_first - np.cumsum(n) + n, n)].T
+    for edge in range(m.max()):
+        # a ring with fewer edges has one from a corner to itself, which cuts nothing
+        p = b[b_first + np.where(edge < m, edge, 0)]
+        step = b[b_first + np.where(edge + 1 < m, edge + 1, 0)] - p
+        side = step[owner, 0] * (y - p[owner, 1]) - step[owner, 1] * (x - p[owner, 0])
+        following = _following(owner)
+        after = side[following]
+        keep, cross = side >= 0, side * after < 0
+        if keep.all():
+            continue
+        made = keep.astype(np.int64) + cross
+        to = np.cumsum(made) - made
+        c = np.flatnonzero(cross)
+        where, s, t, next_one = to[c] + keep[c], side[c], after[c], following[c]
+        cut = []
+        for v in (x, y):
+            new = np.empty(made.sum())
+            new[to[keep]] = v[keep]
+            new[where] = v[c] + (v[next_one] - v[c]) * s / (s - t)
+            cut.append(new)
+        x, y = cut
+        owner = np.repeat(owner, made)
+    return np.abs(_shoelace(x, y, owner, len(n)))
+
+
 def _signed(ring: np.ndarray) -> float:
     x, y = ring.T
     return float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum() / 2)
@@ -309,11 +396,6 @@ def min_rect_udf(points: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["x", "y", "height", "width", "angle"]).astype(float)
 
 
-@F.pandas_udf(T.DoubleType())
-def iou_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([iou(_array(p), _array(q)) for p, q in zip(a, b, strict=True)], dtype=float)
-
-
 @F.pandas_udf(T.DoubleType())
 def intersection_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([clip_area(_array(p), _array(q)) for p, q in zip(a, b, strict=True)], dtype=float)

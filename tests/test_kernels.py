@@ -221,3 +221,49 @@ def test_handles():
     assert reader.wait(reader.submit(b"\xff"))[0] == 1
     reader.close()
     assert pipeline.pool_size() == 24
+
+
+def _rings(rnd, n):
+    """Rectangles, convex rings in both directions, and rings that cross themselves or have no area."""
+    for k in range(n):
+        x, y, w, h = (float(v) for v in rnd.integers(0, 40, 4))
+        angles = np.sort(rnd.uniform(0, 2 * math.pi, int(rnd.integers(3, 9))))[:: 1 if k % 2 else -1]
+        kinds = [np.array([(x, y), (x + w + 1, y), (x + w + 1, y + h + 1), (x, y + h + 1)]), np.stack([x + 15 * np.cos(angles), y + 15 * np.sin(angles)], 1), rnd.integers(0, 40, (int(rnd.integers(1, 7)), 2)).astype(float)]
+        yield kinds[min(k % 5, 2)] if k % 5 > 1 else kinds[k % 5]
+
+
+def test_pairs_clipped_at_once_are_as_one_by_one():
+    rings = list(_rings(np.random.default_rng(5), 90))
+    points, area = geometry.clockwise(np.concatenate(rings), np.cumsum([0, *map(len, rings)]))
+    ends = np.cumsum([0, *map(len, rings)])
+    some = [k for k, r in enumerate(rings) if len(r) > 2]
+    i, j = (v.ravel() for v in np.meshgrid(some, some))
+    got = geometry.clip_areas(points, ends, points, ends, i, j)
+    assert got == pytest.approx([geometry.clip_area(rings[a], rings[b]) for a, b in zip(i, j, strict=True)], abs=1e-9)
+    assert area[some] == pytest.approx([abs(geometry._signed(rings[k])) for k in some])
+
+
+def _greedy(gt, det, best_first):
+    pairs = [(geometry.iou(p, q), image, i, j) for image, i, p in gt for at, j, q in det if at == image]
+    pairs = [p for p in pairs if p[0] > 0.5]
+    free, out = set(), set()
+    for _, image, i, j in sorted(pairs, key=lambda p: (-math.floor(p[0] * 1e9 + 0.5) if best_first else 0, *p[1:])):
+        if not {("g", image, i), ("d", image, j)} & free:
+            free |= {("g", image, i), ("d", image, j)}
+            out.add((image, i, j))
+    return out
+
+
+def _matched(spark, best_first):
+    rnd = np.random.default_rng(6)
+    gt, det = ([(k % 3, k, r + [480.0, 0]) for k, r in enumerate(_rings(rnd, 240)) if len(r) > 2] for _ in range(2))  # across two cells
+    frame = lambda rows: spark.createDataFrame([(f"img_{a}", k, [{"x": float(x), "y": float(y)} for x, y in r], True) for a, k, r in rows], f"image string, id long, points {geometry.POINTS}, care boolean")
+    found = evaluate.match(frame(gt), frame(det), best_first=best_first)
+    rows = [(int(r["image"][4:]), r["gt_id"], r["det_id"]) for r in found.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == _greedy(gt, det, best_first)
+    return found
+
+
+def test_match_in_order_streams_pairs_and_sends_only_boxes(spark):
+    plan = _matched(spark, False)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "EvalPython" not in plan  # no group of pairs in a task's memory, no pair sent to be measured
