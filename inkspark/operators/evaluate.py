@@ -23,6 +23,11 @@ DONT_CARE = "###"
 MOST_TASKS = 4096
 
 
+def half_up(value: Column, digits: int) -> Column:
+    """A value that isn't negative, rounded as SQL does it: as a double times a power of ten, not by its decimal digits."""
+    return F.floor(value * 10.0**digits + 0.5) / 10.0**digits
+
+
 def _spread(rows: DataFrame, name: str, image: str, cell: float) -> DataFrame:
     """Boxes with their bounds, once for each cell of a grid that these meet."""
     rows = rows.select(image, F.col("id").alias(f"{name}_id"), F.col("points").alias(f"{name}_points"), bounds(F.col("points")).alias(name))

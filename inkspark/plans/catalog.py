@@ -661,7 +661,7 @@ def j3(spark, d):
 @query("g15_polygon_iou", f"WITH {GT}, {DET}, p AS ({IOU}) SELECT image, gt_id, det_id, round(o / (s - o), 6) AS iou FROM p WHERE o > 0")
 def g15(spark, d):
     rows = evaluate.overlapping(corners(spark, d, 0), corners(spark, d, 4), least=0.0)
-    return rows.select("image", "gt_id", "det_id", F.round("iou", 6).alias("iou"))
+    return rows.select("image", "gt_id", "det_id", evaluate.half_up(F.col("iou"), 6).alias("iou"))
 
 
 def _walk(wanted: str, source: str = "det") -> str:
@@ -676,7 +676,7 @@ pairs AS (SELECT image, g AS gt_id, d AS det_id, iou FROM walk WHERE g IS NOT NU
 
 def _matched(spark, d, best_first):
     rows = evaluate.match(corners(spark, d, 0), corners(spark, d, 4).withColumn("care", F.lit(True)), best_first=best_first)
-    return rows.select("image", "gt_id", "det_id", F.round("iou", 6).alias("iou"))
+    return rows.select("image", "gt_id", "det_id", evaluate.half_up(F.col("iou"), 6).alias("iou"))
 
 
 @query("j4_match_in_order", f"WITH RECURSIVE {GT}, {DET}, {_walk('g, d')} SELECT image, gt_id, det_id, round(iou, 6) AS iou FROM pairs")

@@ -65,3 +65,10 @@ def test_number_formats_take_sizes_of_any_length(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["size"] for r in QUERIES["f_number_formats"](spark, str(tmp_path)).collect()}
     assert got == dict(enumerate(want.values()))
+
+
+def test_overlaps_are_rounded_as_in_sql(spark):
+    d, db = "/root/testdata/sf0.1", duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{d}/embeddings.parquet'")
+    mine = {tuple(r) for r in QUERIES["g15_polygon_iou"](spark, d).collect()}
+    assert mine == set(db.execute(SQL["g15_polygon_iou"]).fetchall())

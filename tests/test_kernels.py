@@ -267,3 +267,11 @@ def _matched(spark, best_first):
 def test_match_in_order_streams_pairs_and_sends_only_boxes(spark):
     plan = _matched(spark, False)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroups" not in plan and "EvalPython" not in plan  # no group of pairs in a task's memory, no pair sent to be measured
+
+
+def test_pairs_of_one_image_are_made_in_many_tasks(spark):
+    box = lambda k: [{"x": float(x), "y": float(y)} for x, y in square(k % 20, k % 30, 30)]
+    rows = spark.createDataFrame([(1, k, box(k)) for k in range(600)], f"image int, id int, points {geometry.POINTS}")
+    found = evaluate.overlapping(rows, rows, least=0.0, part_boxes=20)
+    assert found.count() == 360_000
+    assert found.select(F.spark_partition_id()).distinct().count() > 4
