@@ -139,7 +139,7 @@ def match(gt: DataFrame, det: DataFrame, image: str = "image", least: float = PA
     the ids that are taken; images are spread.
     """
     pairs = overlapping(gt.where("care"), det.where("care"), image, least)
-    order = [F.desc(F.round("iou", 9))] * best_first + ["gt_id", "det_id"]
+    order = [half_up(F.col("iou"), 9).desc()] * best_first + ["gt_id", "det_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, taken_g, taken_d = None, set(), set()

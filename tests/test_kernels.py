@@ -1,6 +1,7 @@
 import math
 import zipfile
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -275,3 +276,11 @@ def test_pairs_of_one_image_are_made_in_many_tasks(spark):
     found = evaluate.overlapping(rows, rows, least=0.0, part_boxes=20)
     assert found.count() == 360_000
     assert found.select(F.spark_partition_id()).distinct().count() > 4
+
+
+def test_best_first_rounds_as_sql(spark):
+    # 0.6171875005 times 1e9 is half a unit: both overlaps are one to nine digits, so that the smaller ids go first
+    half, above = 0.6171875005, 0.617187501
+    got = spark.createDataFrame([(half,), (above,), (0.0629375,)], "v double").select(evaluate.half_up(F.col("v"), 9).alias("nine"), evaluate.half_up(F.col("v"), 6).alias("six")).collect()
+    want = duckdb.connect().execute("SELECT round(v, 9), round(v, 6) FROM (VALUES (0.6171875005::DOUBLE), (0.617187501), (0.0629375)) t(v)").fetchall()
+    assert [tuple(r) for r in got] == want
