@@ -195,6 +195,8 @@ class Places:
         return sequence, offset
 
 
+#: Pieces that a task places at least (about 1 MB): fewer would only make many small files, each with processes that set its mode.
+TASK_PIECES = 16_384
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"
 
 
@@ -240,13 +242,16 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 1, k
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = PIECES + ", ids binary" * keep_ids
     pieces = save(rows.mapInArrow(_tokenised(tokenizer, length, end_id, keep_ids), schema), f"{root}/pieces")
-    held = save(pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n")), f"{root}/held")
-    counts = {r["length"]: r["n"] for r in held.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `length` rows
+    held = pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n"))
+    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `length` rows
     places = Places(plan(counts, length))
     before = held.select("task", "length", (F.expr("sum(n) OVER (PARTITION BY length ORDER BY task)") - F.col("n")).alias("before"))
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
     out = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids + ", sequence_id long, offset long"
-    return pieces.join(before.hint("merge"), ["task", "length"]).mapInArrow(_placed(places, names), out)
+    placed = pieces.join(before.hint("merge"), ["task", "length"])
+    if not keep_ids:  # else rows are large
+        placed = placed.coalesce(max(1, sum(counts.values()) // TASK_PIECES))
+    return placed.mapInArrow(_placed(places, names), out)
 
 
 def fill(pieces: DataFrame) -> DataFrame:

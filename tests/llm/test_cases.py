@@ -263,3 +263,18 @@ def test_work_dir_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         common.work_dir(Session(), "x")
+
+
+def test_packing_writes_few_small_files(spark, tmp_path):
+    names = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    rows = spark.range(400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a b "), (F.col("id") % 60).cast("int")).alias("text")).repartition(4)
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        packing.pack(rows, tokenizer_path("word_bpe_49k.json")).write.parquet(str(tmp_path / "out"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(list((tmp_path / "out").glob("part-*"))) == 1
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 400
